@@ -22,7 +22,7 @@ from .langid import held_out
 #: Bound of the labelled rows that the model is learned from, of its units, and of the prior as a share of all counts.
 SAMPLE_ROWS, MOST_UNITS, PRIOR = 20_000, 100_000, 0.05
 #: Cost of a token; least z of a unit; prefixes that stand in for unknown words; E-value of a significant passage.
-COST, LEAST_Z, PREFIXES, SIGNIFICANT = 0.7, 4.0, (5, 4), 0.05
+COST, LEAST_Z, PREFIXES, SIGNIFICANT = 0.7, 3.0, (5, 4), 0.05
 THRESHOLD = 0.3
 BINS = np.arange(-8, 8.25, 0.25)
 _WORD = re.compile(r"[^\W\d_]+")
