@@ -346,9 +346,9 @@ def section_label_case(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL),
-q AS (SELECT *, n / sum(n) OVER () * 200 AS raw FROM s),
+q AS (SELECT *, n / sum(n) OVER () * least(200, sum(n) OVER ()) AS raw, least(200, sum(n) OVER ()) AS want FROM s),
 b AS (SELECT *, floor(raw) AS base, row_number() OVER (ORDER BY raw - floor(raw) DESC, c_mktsegment, c_nationkey) AS rk FROM q)
-SELECT c_mktsegment, c_nationkey, n::BIGINT AS n, (base + CASE WHEN rk <= 200 - sum(base) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM b""")
+SELECT c_mktsegment, c_nationkey, n::BIGINT AS n, (base + CASE WHEN rk <= want - sum(base) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM b""")
 def largest_remainder(spark, sf_dir):
     """Quotas of 200 customers over segments and nations."""
     return relational.largest_remainder(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], 200)
