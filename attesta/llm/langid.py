@@ -128,8 +128,10 @@ class CrossParser:
                 c = steps[i, :n]
                 nxt = flat[state[:n] * w + c]
                 stop = nxt == 0
-                count[:n] += stop
                 again = root[c]
+                # a phrase ends; a letter that the sample lacks is one more by itself
+                count[:n] += stop
+                count[:n] += stop & (again == 0) & (state[:n] != 1)
                 nxt = np.where(stop, np.where(again == 0, 1, again), nxt)
                 state[:n] = nxt
             count += (state != 1) & (lanes[order, 0] != 0)
