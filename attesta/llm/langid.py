@@ -32,14 +32,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """At most ``sample_docs`` labelled texts of each language, by least hash of the text: a bounded model input.
+    """At most ``sample_docs`` passages of each language's labelled texts: a bounded model input.
 
-    The pick is a limit within each group that Spark applies before the shuffle, so a language with a third of all
-    rows sends a few rows from each task.
+    Texts are cut into passages all along; those of the least hash of doc_id and place are taken. The pick is a limit
+    within each group that Spark applies before the shuffle, so a language with a third of all rows sends a few rows
+    from each task.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    size = SAMPLE_CHARS // 8  # no text gives more to the sample
-    picked = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, size).alias("text"))
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
+    size = SAMPLE_CHARS // 8
+    cut = rows.select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))).alias("i"))
+    picked = cut.select("lang", F.xxhash64("doc_id", "i").alias("h"), F.substring(F.col("text"), F.col("i") * size + 1, F.lit(size)).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     found: dict[str, list[str]] = {}
     for r in picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).orderBy("lang", "n").limit(MOST_LANGUAGES * sample_docs).collect():
