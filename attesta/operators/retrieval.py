@@ -52,24 +52,26 @@ def parse_query(query: str, nct_id: str | None = None) -> QueryFilters:
     return QueryFilters(nct_id if nct_id is not None else found.group(0).upper() if found else None, kind, float(version.group(1)) if version else None)
 
 
-def dense_search(items: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id", vector: str = "embedding", filters: QueryFilters | None = None) -> DataFrame:
+def dense_search(items: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id", vector: str = "embedding", filters: QueryFilters | None = None, match: str | None = None) -> DataFrame:
     """The ``k`` nearest items of every query ``(query_id, query_vector)`` by cosine distance: ``query_id, id, distance, rank``.
 
     Exact, in double precision. Items without a vector are left out; ties go by id; pairs of unequal length or with a
     zero vector have no distance. The queries are a stated set. Up to ``MOST_QUERIES`` of them, a number that is
     checked, are sent to the executors as one matrix, items stream past it in batches, and each batch hands on k rows a
-    query at most. Larger sets are left to a join that keeps k rows a query and task before the shuffle.
+    query at most. Larger sets are left to a join that keeps k rows a query and task before the shuffle. With ``match``, a column
+    of both sides, a query only meets the items that have its value there; null meets null.
     """
     items = items.where(F.col(vector).isNotNull())
     if filters is not None:
         items = items.where(filters.condition())
-    items = items.select(F.col(id_).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
-    side = queries.where(F.col("query_vector").isNotNull()).select("query_id", F.col("query_vector").cast("array<double>").alias("_q"))
+    key = F.col(match).cast("string") if match else F.lit(None).cast("string")
+    items = items.select(F.col(id_).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), key.alias("_m"))
+    side = queries.where(F.col("query_vector").isNotNull()).select("query_id", F.col("query_vector").cast("array<double>").alias("_q"), key.alias("_k"))
     few = side.limit(MOST_QUERIES + 1).collect()
     if len(few) <= MOST_QUERIES:
         scored = _matrix_top(items, few, k, side.schema["query_id"].dataType)
     else:
-        scored = items.join(side, F.lit(True), "cross").select("query_id", "_id", cosine_distance(F.col("_v"), F.col("_q")).alias("distance")).where("distance is not null")
+        scored = items.join(side, F.col("_m").eqNullSafe(F.col("_k"))).select("query_id", "_id", cosine_distance(F.col("_v"), F.col("_q")).alias("distance")).where("distance is not null")
     w = Window.partitionBy("query_id").orderBy("distance", "_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("_id", id_)
 
@@ -80,12 +82,13 @@ def _matrix_top(items: DataFrame, queries: list, k: int, query_type) -> DataFram
     for q in queries:
         v = np.array(q["_q"], float)
         if len(v) and np.isfinite(v).all() and v.any():
-            by_size.setdefault(len(v), []).append((q["query_id"], v / np.sqrt((v * v).sum())))
-    groups = {n: ([i for i, _ in qs], np.stack([v for _, v in qs])) for n, qs in by_size.items()}
+            by_size.setdefault(len(v), []).append((q["query_id"], v / np.sqrt((v * v).sum()), q["_k"]))
+    groups = {n: ([i for i, _, _ in qs], np.stack([v for _, v, _ in qs]), [m for _, _, m in qs]) for n, qs in by_size.items()}
     shared = items.sparkSession.sparkContext.broadcast(groups)  # at most MOST_QUERIES vectors
     id_type = items.schema["_id"].dataType
     schema = StructType([StructField("query_id", query_type), StructField("_id", id_type), StructField("distance", DoubleType())])
     arrow = to_arrow_schema(schema)
+    none = _NONE
 
     def run(batches):
         for batch in batches:
@@ -93,7 +96,8 @@ def _matrix_top(items: DataFrame, queries: list, k: int, query_type) -> DataFram
             flat, cuts = vectors.flatten().to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
             cuts = cuts - cuts[0]
             sizes = np.diff(cuts)
-            for n, (names, matrix) in shared.value.items():
+            marks = np.array([m if m is not None else none for m in batch.column("_m").to_pylist()], object)
+            for n, (names, matrix, keys) in shared.value.items():
                 rows = np.flatnonzero(sizes == n)
                 if not len(rows):
                     continue
@@ -101,8 +105,9 @@ def _matrix_top(items: DataFrame, queries: list, k: int, query_type) -> DataFram
                 with np.errstate(invalid="ignore", divide="ignore"):
                     d = 1 - (x @ matrix.T) / np.sqrt((x * x).sum(1))[:, None]
                 ids = batch.column("_id").take(pa.array(rows))
-                for j, name in enumerate(names):
-                    near = np.flatnonzero(np.isfinite(d[:, j]))
+                at = {m: np.flatnonzero(marks[rows] == (m if m is not None else none)) for m in set(keys)}
+                for j, (name, mark) in enumerate(zip(names, keys)):
+                    near = at[mark][np.isfinite(d[at[mark], j])]
                     if len(near) > k:  # all ties of the k-th stay: the final order decides between them
                         near = near[d[near, j] <= np.partition(d[near, j], k - 1)[k - 1]]
                     if len(near):
@@ -111,6 +116,8 @@ def _matrix_top(items: DataFrame, queries: list, k: int, query_type) -> DataFram
     return items.mapInArrow(run, schema)
 
 
+#: Stands for null among the values of ``match``.
+_NONE = "\x01null"
 #: Most queries of one batch that are broadcast; larger batches are left to the planner.
 MOST_QUERIES = 20_000
 

@@ -46,15 +46,6 @@ def _dense(spark, sf_dir, k: int) -> DataFrame:
     return retrieval.dense_search(e, _queries(e), k, "vec_id")
 
 
-def _dense_by_label(spark, sf_dir, k: int) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    out = None
-    for r in e.select("label").distinct().orderBy("label").collect():  # labels are few by nature; each is one filtered search
-        part = retrieval.dense_search(e.where(F.col("label").eqNullSafe(r["label"])), _queries(e).where(F.col("q_label").eqNullSafe(r["label"])), k, "vec_id")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query(f"""
 SELECT query_id, vec_id, round(d, 6) AS distance, rank::INT AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id) AS rank
@@ -70,7 +61,9 @@ SELECT query_id, vec_id, round(d, 6) AS distance, rank::INT AS rank FROM (
   FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % 20 = 0) WHERE rank <= 10""")
 def dense_prefilter_topk(spark, sf_dir):
     """Ten nearest vectors among those with the query's label."""
-    return _dense_by_label(spark, sf_dir, 10).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+    e = table(spark, sf_dir, "embeddings")
+    q = _queries(e).withColumnRenamed("q_label", "label")
+    return retrieval.dense_search(e, q, 10, "vec_id", match="label").select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query(f"""
