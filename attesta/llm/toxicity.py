@@ -21,8 +21,8 @@ from .langid import held_out
 
 #: Bound of the labelled rows that the model is learned from, of its units, and of the prior as a share of all counts.
 SAMPLE_ROWS, MOST_UNITS, PRIOR = 20_000, 100_000, 0.05
-#: Cost of a token; least z of a unit; prefixes that stand in for unknown words; E-value of a significant passage.
-COST, LEAST_Z, PREFIXES, SIGNIFICANT = 0.7, 3.0, (5, 4), 0.05
+#: Cost of a token; least z of a unit, and least log-odds of a toxic one; prefixes that stand in for unknown words; E-value of a significant passage.
+COST, LEAST_Z, LEAST_ODDS, PREFIXES, SIGNIFICANT = 0.7, 3.0, 3.0, (5, 4), 0.05
 THRESHOLD = 0.3
 BINS = np.arange(-8, 8.25, 0.25)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,9 +78,9 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def learned_units(pairs: list[tuple[str, int, int]], n1: int, n0: int) -> dict[str, float]:
-    """Log-odds of units ``(unit, toxic count, clean count)``, for those with a z of ``LEAST_Z`` or more.
+    """Log-odds of units ``(unit, toxic count, clean count)``, for those with a z of ``LEAST_Z`` or more that are clean, or toxic by ``LEAST_ODDS``.
 
-    Words without such a z that hide under a known prefix get 0, so that the prefix doesn't speak for them.
+    Other words that hide under a known prefix get 0, so that the prefix doesn't speak for them.
     """
     whole = n1 + n0
     prior = PRIOR * whole
@@ -89,7 +89,7 @@ def learned_units(pairs: list[tuple[str, int, int]], n1: int, n0: int) -> dict[s
     for unit, y1, y0 in pairs:
         a = prior * (y1 + y0) / max(whole, 1)
         d = math.log((y1 + a) / (n1 + prior - y1 - a)) - math.log((y0 + a) / (n0 + prior - y0 - a))
-        if abs(d) / math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= LEAST_Z:
+        if abs(d) / math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= LEAST_Z and (d < 0 or d >= LEAST_ODDS):
             model[unit] = d
         else:
             rest.append(unit)
@@ -149,6 +149,10 @@ class Model:
             self._lookup = Weights(self.weights)
         words = tokens(text)
         values = np.array(list(map(self._lookup.__getitem__, words)), dtype=float)
+        met: dict[str, int] = {}
+        for i in np.flatnonzero(values > 0).tolist():  # words come in bursts: the n-th time says an n-th
+            n = met[words[i]] = met.get(words[i], 0) + 1
+            values[i] /= n
         return len(words), values, segments(values - COST) if len(words) else []
 
     def score(self, n: int, found: list[tuple[int, int, float]]) -> float:
@@ -181,7 +185,11 @@ def _unit_counts(batches):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """Distinct texts ``(text, toxic)`` of about ``most`` labelled rows at most that aren't held out, by hash of doc_id."""
+    """Texts ``(text, toxic)`` of about ``most`` labelled rows at most that aren't held out, by hash of doc_id.
+
+    Copies of a text are no independent witnesses: of texts that agree in the least hash of their three-word shingles, as
+    copies and most near copies do, one is taken, a toxic one if there is one.
+    """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     share = most / max(1, rows.count())
@@ -189,7 +197,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS)
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.join(F.broadcast(rows), "doc_id")  # at most about ``most`` rows of two numbers
-    return found.groupBy(F.xxhash64("text").alias("h")).agg(F.max_by("text", "toxic").alias("text"), F.max("toxic").alias("toxic")).drop("h")
+    words = F.split(F.lower("text"), r"\s+")
+    later = lambda k: F.slice(words, k + 1, 1 << 30)
+    shingles = F.zip_with(F.zip_with(words, later(1), lambda a, b: F.xxhash64(a, b)), later(2), lambda a, b: F.xxhash64(a, b))
+    return found.groupBy(F.array_min(shingles).alias("h")).agg(F.max_by("text", "toxic").alias("text"), F.max("toxic").alias("toxic")).drop("h")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
