@@ -165,15 +165,17 @@ def cover_density(positions: Column) -> Column:
     return F.aggregate(minimal, F.lit(0.0), lambda acc, c: acc + F.lit(0.1) / (1 + (c["e"] - c["s"] + 1 - inside(c))))
 
 
-def lexical_search(index: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id", stems: bool = True) -> DataFrame:
+def lexical_search(index: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id", stems: bool = True, match: str | None = None) -> DataFrame:
     """Items with every term of a query ``(query_id, query_text)``, by cover density: ``query_id, id, score, rank``.
 
     ``index`` is a ``token_table``. The join is on the terms asked for; items that lack a term fall out by the count.
-    A query without a term finds nothing; ties go by id.
+    A query without a term finds nothing; ties go by id. With ``match``, a column of both sides, a query only meets the
+    items that have its value there.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(lexemes(F.col("query_text"), stems), lambda e: e["term"]))).alias("term"))
+    also = [match] if match else []
+    terms = queries.select("query_id", *also, F.explode(F.array_distinct(F.transform(lexemes(F.col("query_text"), stems), lambda e: e["term"]))).alias("term"))
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    hits = index.join(terms, "term").groupBy("query_id", id_).agg(F.count(F.lit(1)).alias("n"), F.collect_list("positions").alias("positions"))
+    hits = index.join(terms, ["term", *also]).groupBy("query_id", id_).agg(F.count(F.lit(1)).alias("n"), F.collect_list("positions").alias("positions"))
     full = hits.join(need, "query_id").where("n = need")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_)
     return full.select("query_id", id_, F.bround(cover_density(F.col("positions")), 9).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -193,12 +195,19 @@ def reciprocal_rank_fusion(rankings: Iterable[DataFrame], id_: str = "chunk_id",
     return fused.withColumn("rank", F.row_number().over(w)).drop("_first")
 
 
-def hybrid_search(items: DataFrame, index: DataFrame, queries: DataFrame, k: int, filters: QueryFilters | None = None, candidates: int = CANDIDATES, id_: str = "chunk_id") -> DataFrame:
-    """Dense and lexical candidates of the filtered items, fused, cut to ``k``."""
+def hybrid_search(items: DataFrame, index: DataFrame, queries: DataFrame, k: int, filters: QueryFilters | None = None, candidates: int = CANDIDATES, id_: str = "chunk_id", match: str | None = None) -> DataFrame:
+    """Dense and lexical candidates of the filtered items, fused, cut to ``k``.
+
+    ``filters`` are one condition for all queries; ``match`` names a column of items and queries that has to agree, such as the trial, so
+    that a batch of questions on many trials is one search.
+    """
     if filters is not None and filters != QueryFilters():
         items = items.where(filters.condition())
         index = index.join(items.select(id_), id_, "left_semi")
-    fused = reciprocal_rank_fusion([dense_search(items, queries, candidates, id_), lexical_search(index, queries, candidates, id_)], id_)
+    if match and match not in index.columns:
+        index = index.join(items.select(id_, match), id_)
+    parts = [dense_search(items, queries, candidates, id_, match=match), lexical_search(index, queries, candidates, id_, match=match)]
+    fused = reciprocal_rank_fusion(parts, id_)
     return fused.where(F.col("rank") <= k)
 
 

@@ -14,8 +14,7 @@ RUNGS = ("dense", "lexical", "hybrid", "hybrid_prefiltered", "reranked")
 def rung(name: str, chunks: DataFrame, index: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
     """``query_id, chunk_id, rank`` of a rung for ``questions (query_id, query_text, query_vector, nct_id)``.
 
-    The prefiltered rungs keep only chunks of a question's trial: questions of one trial share a filter, so hits are
-    filtered by a join on the trial before the ranks are given.
+    The prefiltered rungs let a question meet only the chunks of its trial; all questions are one search.
     """
     if name == "dense":
         return retrieval.dense_search(chunks, questions, k).select("query_id", "chunk_id", "rank")
@@ -23,10 +22,7 @@ def rung(name: str, chunks: DataFrame, index: DataFrame, questions: DataFrame, k
         return retrieval.lexical_search(index, questions, k).select("query_id", "chunk_id", "rank")
     if name == "hybrid":
         return retrieval.hybrid_search(chunks, index, questions, k).select("query_id", "chunk_id", "rank")
-    per_trial = [retrieval.hybrid_search(chunks, index, questions.where(F.col("nct_id") == r["nct_id"]), retrieval.CANDIDATES, retrieval.QueryFilters(nct_id=r["nct_id"])) for r in questions.select("nct_id").distinct().orderBy("nct_id").collect()]
-    fused = per_trial[0]
-    for p in per_trial[1:]:
-        fused = fused.unionByName(p)
+    fused = retrieval.hybrid_search(chunks, index, questions, retrieval.CANDIDATES, match="nct_id")
     if name == "hybrid_prefiltered":
         return fused.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank")
     if name == "reranked":
