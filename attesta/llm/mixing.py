@@ -15,7 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
 #: Schedules by weight rank: (time, rate) knots. Heavy sources start strong and fade, light ones grow.
 SCHEDULES = (((0.0, 1.4), (0.5, 1.0), (1.0, 0.6)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.4), (0.5, 0.8), (1.0, 2.0)))
-SLICE_BITS = 12
+#: Hex digits of the hash that name a slice, and what is added to the id before it is hashed.
+SLICE_DIGITS, SALT = 3, ":17"
 
 
 def word_count(text: Column) -> Column:
@@ -43,7 +44,7 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS)
     t = t.withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
     level = F.min(F.when(~F.col("capped"), F.struct("rank_in_order", "level"))).over(everything)["level"]
     t = t.withColumn("rank_in_order", F.row_number().over(order)).withColumn("final", level)
-    return t.select("source", "source_size", "rank", "weight", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("final") * F.col("weight")).alias("target")).withColumn("mix_words", F.sum("target").over(everything))
+    return t.select("source", "source_size", "rank", "weight", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("final") * F.col("weight")).alias("target")).withColumn("mix_words", F.sum("source_size").over(everything).cast("double"))
 
 
 def integrated(knots) -> list[tuple[float, float, float, float]]:
@@ -69,6 +70,36 @@ def time_of(share: Column, knots) -> Column:
     return F.least(F.greatest(found, F.lit(0.0)), F.lit(1.0))
 
 
+def time_sql(share: str, knots) -> str:
+    """``time_of`` as an SQL expression of the same operations."""
+    found = "NULL"
+    for t0, rate, slope, before in integrated(knots):
+        need = f"greatest({share} - {before!r}::DOUBLE, 0::DOUBLE)"
+        root = f"sqrt(greatest({rate * rate!r}::DOUBLE + {2 * slope!r}::DOUBLE * {need}, 0::DOUBLE))"
+        at = f"({t0!r}::DOUBLE + CASE WHEN {need} <= 0 THEN 0::DOUBLE ELSE 2::DOUBLE * {need} / ({rate!r}::DOUBLE + {root}) END)"
+        found = at if found == "NULL" else f"CASE WHEN {share} >= {before!r}::DOUBLE THEN {at} ELSE {found} END"
+    return f"least(greatest({found}, 0::DOUBLE), 1::DOUBLE)"
+
+
+def mix_sql(weights=WEIGHTS, most: int = MOST_REPEATS, schedules=SCHEDULES) -> str:
+    """SQL for ``doc_id, size, source_size, target, taken, position`` of the mix of ``documents``."""
+    times = " ".join(f"WHEN rank % {len(schedules)} = {i} THEN {time_sql('share', k)}" for i, k in enumerate(schedules))
+    reads = " + ".join(f"greatest(0, least(size, wanted - start - {i} * source_size))" for i in range(most))
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, left(sha256(coalesce(doc_id::VARCHAR, '') || '{SALT}'), 16) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, [{", ".join(f"{x}::DOUBLE" for x in weights)}][rank % {len(weights)} + 1] AS weight, source_size * {most}::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE AS total FROM s),
+l AS (SELECT *, row_number() OVER o AS place,
+  (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
+  / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW o AS (ORDER BY cap / weight, rank)),
+c AS (SELECT *, cap <= level * weight AS capped FROM l),
+t AS (SELECT *, CASE WHEN capped THEN cap ELSE (SELECT arg_min(level, place) FROM c WHERE NOT capped) * weight END AS target FROM c),
+x AS (SELECT doc_id, size, source_size, target, total, rank, round(target)::BIGINT AS wanted,
+  (sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+y AS (SELECT *, ({reads})::BIGINT AS taken, CASE WHEN wanted > 0 THEN start / wanted ELSE 0 END::DOUBLE AS share FROM x)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN total * CASE {times} END END AS position FROM y"""
+
+
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, schedules=SCHEDULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """What the mix takes of every row of ``docs (doc_id, text, source)``.
 
@@ -83,11 +114,11 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, schedules=
     Sums run over slices of the hash order: a source is summed per slice, map-side first, and rows are ordered only
     within a slice, so that a source with a third of all rows is spread over 4096 groups.
     """
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(17))
+    key = F.substring(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(SALT)), 256), 1, 16)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("none"), word_count(F.col("text")).alias("size"), key.alias("h"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("crc"), *[F.col(c).alias(f"kept_{c}") for c in keep],
-    ).withColumn("slice", F.shiftrightunsigned(F.col("h"), 64 - SLICE_BITS).cast("int"))
+    ).withColumn("slice", F.conv(F.substring("h", 1, SLICE_DIGITS), 16, 10).cast("int"))
     slices = rows.groupBy("none", "src", "slice").agg(F.sum("size").alias("words"))
     totals = slices.groupBy("none", "src").agg(F.sum("words").alias("source_size"))
     targets = source_targets(totals.withColumn("source", F.when(~F.col("none"), F.col("src"))), weights, most)

@@ -103,4 +103,4 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_events": _CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_curriculum_mix": mixing.mix_sql(), "op4_chat_events": _CHAT_SQL}
