@@ -33,11 +33,16 @@ INDEX = np.dtype([("frame", "<u4"), ("first", "<u4"), ("ids", "<u4"), ("null", "
 _UNSAFE = re.compile(r"\s (?!\S)")
 
 
+#: Words that the pre-tokenizer parts in a known way: letters, closing punctuation, one line feed, letters, closing punctuation.
+_PARTS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)?(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)?)?")
+
+
 class Encoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library.
 
     Its pre-tokenizer never joins what stands before a space to what follows a non-space, so a text is split at
-    spaces, every distinct piece is encoded once by the library, and the pieces' ids are put together. Texts where
+    spaces, plain pieces into words and punctuation, every distinct one is encoded once by the library, and the ids
+    are put together. Texts where
     white space makes that unsafe are encoded whole. Known pieces are kept, up to a bound.
     """
 
@@ -47,7 +52,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
 
-        self.pieces = Interned(self._encode)
+        self.pieces, self.words = Interned(self._part, most=300_000), Interned(self._encode, most=300_000)
+
+    def _part(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words, counts = [], []
+        for p in pieces:
+            found = _PARTS.fullmatch(p)
+            parts = [x for x in found.groups() if x] if found else [p]
+            words += parts
+            counts.append(len(parts))
+        return self.words.ids(words, counts)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
