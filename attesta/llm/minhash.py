@@ -18,6 +18,8 @@ from .common import bound_batches, components, drop_path, written
 
 SHINGLE, SKETCHES, PICKS, SIMILARITY = 5, 24, 2, 0.8
 POSITION_BITS = 24
+#: Members of a bucket that one task compares with as many others, and bins of the word counts that bound a distance from below.
+TILE, BINS = 1000, 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -142,12 +144,12 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE, sketches: int = SKETCHES,
     )
 
 
-def candidate_pairs(sk: DataFrame, sketches: int = SKETCHES) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of text ids that share a sketch.
+def candidate_pairs(sk: DataFrame, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
+    """A first round of distinct pairs ``(a, b)`` of text ids that share a sketch, and the buckets ``(k1, vid, a, n)`` it leaves.
 
-    A bucket of one sketch links each member to its least member, and so does each sub-bucket that shares the next
-    sketch, or the next two, as well: three rows a member and sketch at most, never all pairs of a bucket. A bucket
-    that many unlike documents share (a common passage) falls apart in its sub-buckets, where like ones meet again.
+    A bucket of one sketch links each member to its least member ``a``, and so does each sub-bucket that shares the next
+    sketch, or the next two, as well: three rows a member and sketch at most, never all pairs of a bucket. Most classes
+    are found by these pairs; ``rest_pairs`` are those of the buckets' ``n`` members that they leave open.
     """
     one = sk.where("sk is not null").groupBy("vid").agg(F.first("sk").alias("sk"))
     rows = one.select("vid", F.posexplode("sk").alias("i", "s1"), "sk").select(
@@ -158,15 +160,70 @@ def candidate_pairs(sk: DataFrame, sketches: int = SKETCHES) -> DataFrame:
     )
     pairs = None
     for key in ("k1", "k2", "k3"):
-        heads = rows.groupBy(key).agg(F.min("vid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        heads = rows.groupBy(key).agg(F.min("vid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
         linked = rows.join(heads, key)
         if key == "k1":
-            rows, path = written(linked, "buckets")
-            linked = rows
-            rows = rows.drop("a")
+            buckets, _ = written(linked, "buckets")
+            linked = buckets
+            rows = buckets.drop("a", "n")
         found = linked.where("a < vid").select("a", F.col("vid").alias("b"))
         pairs = found if pairs is None else pairs.union(found)
-    return pairs.distinct()
+    return pairs.distinct(), buckets.select("k1", "vid", "a", "n")
+
+
+def _profiler(batches):
+    """Number of words of each text and the counts of its words in ``BINS`` bins."""
+    schema = pa.schema([("vid", pa.binary()), ("size", pa.int64()), ("bins", pa.binary())])
+    hashes = _WordHash()
+    for batch in batches:
+        lists = [words_of(t) for t in batch.column("text").to_pylist()]
+        bins = [np.bincount(np.array([hashes[w] % BINS for w in x], np.int64), minlength=BINS).astype(np.int32).tobytes() for x in lists]
+        yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array([len(x) for x in lists], pa.int64()), pa.array(bins, pa.binary())], schema=schema)
+
+
+def _tile_pairs(similarity: float):
+    def run(tile: pa.Table) -> pa.Table:
+        vid, comp = tile.column("vid").to_pylist(), tile.column("component").to_pylist()
+        code: dict = {}
+        comp = np.array([code.setdefault(c, len(code)) for c in comp])
+        size = tile.column("size").to_numpy()
+        bins = np.frombuffer(b"".join(tile.column("bins").to_pylist()), np.int32).reshape(-1, BINS)
+        block, low, high = tile.column("block").to_numpy(), tile.column("low")[0].as_py(), tile.column("high")[0].as_py()
+        a, b = [], []
+        right = np.flatnonzero(block == high)
+        for i in np.flatnonzero(block == low).tolist():
+            j = right[right > i] if low == high else right
+            j = j[comp[j] != comp[i]]
+            most = np.floor(np.maximum(size[j], size[i]) * (1 - similarity) + 1e-9)
+            near = np.abs(size[j] - size[i]) <= most
+            j, most = j[near], most[near]
+            # each edit changes one count by one up or down at most, or one up and one down
+            apart = (np.abs(bins[j] - bins[i]).sum(1) + np.abs(size[j] - size[i])) // 2
+            for x in j[apart <= most].tolist():
+                a.append(min(vid[i], vid[x]))
+                b.append(max(vid[i], vid[x]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def rest_pairs(buckets: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs of one bucket that lie in different components ``comp (node, component)``, as far as they can reach ``similarity``.
+
+    Only buckets with members of several components are open; in them each pair but those with the least member, which are
+    compared already, is held against the bounds that lengths and counts of words set, in tiles of ``TILE`` by ``TILE``
+    members. No pair that could align is left out, so a bucket of many unlike texts costs the square of its members here.
+    """
+    nodes = comp.withColumnRenamed("node", "vid").dropDuplicates(["vid"])
+    rows = buckets.where("n > 2").join(nodes, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
+    mixed = rows.groupBy("k1").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("k1")
+    rows, _ = written(rows.where("a < vid").join(mixed, "k1"), "open")
+    profiles = texts.join(rows.select("vid").distinct(), "vid", "left_semi").select("vid", "text").mapInArrow(_profiler, "vid binary, size long, bins binary")
+    blocks = F.ceil(F.col("n") / TILE).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("vid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select("k1", "low", "high", "block", "vid", "component")
+    tiles = rows.join(profiles, "vid").groupBy("k1", "low", "high")
+    return tiles.applyInArrow(_tile_pairs(similarity), "a binary, b binary").distinct()
 
 
 def _coded(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -301,7 +358,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, rows_path = written(sketched(docs, shingle, sketches, picks), "sketches")
-    pairs, pairs_path = written(candidate_pairs(rows, sketches), "pairs")
+    pairs, buckets = candidate_pairs(rows, sketches)
+    pairs, pairs_path = written(pairs, "pairs")
     heads = rows.where("vid is not null").groupBy("vid").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(heads, "vid")
     vid = F.unhex(F.substring(F.sha2(F.col("text"), 256), 1, 32))
@@ -309,6 +367,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     texts, texts_path = written(texts, "texts")
     links, links_path = written(verified_pairs(pairs, texts, similarity), "links")
     comp = components(links)
+    more, more_path = written(verified_pairs(rest_pairs(buckets, comp, texts, similarity), texts, similarity), "links")
+    if more.limit(1).count():
+        comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more.select("a", "b")))
     groups = heads.join(comp.withColumnRenamed("node", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     least = groups.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     classes = groups.select("vid", "component").join(least, "component").select("vid", "component", "class_id")

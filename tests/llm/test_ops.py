@@ -77,6 +77,40 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(x.kept == (i == want[i]) for i, x in got.items())
 
 
+def test_near_duplicates_of_a_hub(spark):
+    """Hundreds of variants of one text, most too far from the least member of their bucket, are linked as all their pairs say."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(2):
+        base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+        texts.append(" ".join(base))
+        for _ in range(200):
+            v = list(base)
+            for k in r.sample(range(150), 18):
+                v[k] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(v))
+    shared = [f"s{k}" for k in range(60)]
+    texts += [" ".join(shared + [f"u{r.randrange(10**6)}" for _ in range(60)]) for _ in range(100)]
+    d = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    meet = defaultdict(set)
+    for x in minhash.sketched(d).collect():
+        for key in enumerate(x.sk):
+            meet[key].add(x.doc_id)
+    pairs = sorted({(a, b) for ids in meet.values() for a in ids for b in ids if a < b})
+    top = list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for (a, b), found in zip(pairs, minhash.word_distances([(minhash.words_of(texts[a]), minhash.words_of(texts[b])) for a, b in pairs])):
+        if found is not None:
+            a, b = sorted((root(a), root(b)))
+            top[b] = a
+    assert {x.doc_id: x.class_id for x in minhash.near_duplicates(d).collect()} == {i: root(i) for i in range(len(texts))}
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = [(r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 1, True), (2, 2, True), (3, 2, False), (4, 4, True), (5, 4, False), (None, None, True), (6, 6, True), (6, 6, True), (7, 7, True), (8, 8, True)], key=str)
