@@ -21,8 +21,8 @@ from .langid import held_out
 
 #: Bound of the labelled rows that the model is learned from, of its units, and of the prior as a share of all counts.
 SAMPLE_ROWS, MOST_UNITS, PRIOR = 20_000, 100_000, 0.05
-#: Cost of a token; least z of a unit, and least log-odds of a toxic one; prefixes that stand in for unknown words; E-value of a significant passage.
-COST, LEAST_Z, LEAST_ODDS, PREFIXES, SIGNIFICANT = 0.7, 3.0, 3.0, (5, 4), 0.05
+#: Cost of a token; least z of a unit; prefixes that stand in for unknown words; E-value of a significant passage.
+COST, LEAST_Z, PREFIXES, SIGNIFICANT = 0.7, 3.0, (5, 4), 0.05
 THRESHOLD = 0.3
 BINS = np.arange(-8, 8.25, 0.25)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,7 +78,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def learned_units(pairs: list[tuple[str, int, int]], n1: int, n0: int) -> dict[str, float]:
-    """Log-odds of units ``(unit, toxic count, clean count)``, for those with a z of ``LEAST_Z`` or more that are clean, or toxic by ``LEAST_ODDS``.
+    """Log-odds of units ``(unit, toxic count, clean count)``, for those with a z of ``LEAST_Z`` or more, whatever the mix of labels.
 
     Other words that hide under a known prefix get 0, so that the prefix doesn't speak for them.
     """
@@ -89,7 +89,7 @@ def learned_units(pairs: list[tuple[str, int, int]], n1: int, n0: int) -> dict[s
     for unit, y1, y0 in pairs:
         a = prior * (y1 + y0) / max(whole, 1)
         d = math.log((y1 + a) / (n1 + prior - y1 - a)) - math.log((y0 + a) / (n0 + prior - y0 - a))
-        if abs(d) / math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= LEAST_Z and (d < 0 or d >= LEAST_ODDS):
+        if abs(d) / math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= LEAST_Z:
             model[unit] = d
         else:
             rest.append(unit)

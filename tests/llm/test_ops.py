@@ -263,6 +263,24 @@ def test_toxicity(spark, odd, empty):
     assert len(bare) == 10 and not any(y.predicted for y in bare)
 
 
+@pytest.mark.parametrize("share", [0.5, 0.7])
+def test_toxicity_of_balanced_and_mostly_toxic_labels(spark, share):
+    r = random.Random(12)
+    words = [f"lo{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    rows, bad = [], {}
+    for i in range(600):
+        bad[i] = r.random() < share
+        t = [r.choice(words) for _ in range(r.randrange(15, 60))]
+        if bad[i]:
+            t[3:3] = [r.choice(["scumbag", "idiotic", "moronic"]) for _ in range(3)]
+        rows.append((i, " ".join(t), "en", "s"))
+    d = docs(spark, rows)
+    model = toxicity.fitted(d, spark.createDataFrame([(i, 1, int(b)) for i, b in bad.items()], "doc_id long, quality int, toxic int"))
+    assert all(model.weights.get(w, 0) > toxicity.COST for w in ("scumbag", "idiotic", "moronic"))
+    held = [x for x in toxicity.scored(d, model).collect() if zlib.crc32(str(x.doc_id).encode()) % 4 == 2]
+    assert len(held) > 100 and sum(x.predicted == bad[x.doc_id] for x in held) >= 0.99 * len(held)
+
+
 def test_chat_fold_and_render(spark):
     e = spark.createDataFrame(
         [(1, 1, 0, "delta", "user", "he"), (1, 2, 0, "delta", None, "llo"), (1, 3, 1, "delta", "assistant", "bad"), (1, 4, 1, "regenerate", "assistant", "go"), (1, 5, 1, "delta", None, "od"), (1, 6, 2, "delta", "user", "thanks"), (1, 7, 0, "edit", "user", "hi"),
