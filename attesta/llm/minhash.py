@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, components, drop_path, written
@@ -138,8 +138,7 @@ def _sketcher(shingle: int, sketches: int, picks: int, block_words: int = 400_00
 def sketched(docs: DataFrame, shingle: int = SHINGLE, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
     """``(doc_id, vid, sk)``: vid, 128 bits of the text's SHA-256, names the text; sk is null where it has no word."""
     bound_batches(docs.sparkSession)
-    vid = F.unhex(F.substring(F.sha2(F.col("text"), 256), 1, 32))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), vid.alias("vid"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id(F.col("text")).alias("vid"), "text").mapInArrow(
         _sketcher(shingle, sketches, picks), "doc_id long, vid binary, sk array<long>"
     )
 
@@ -355,6 +354,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     A null text is a class of its own (class_id = doc_id, kept); texts without words are in one class only with
     equal texts. Other columns of ``docs`` are not read. An empty table gives an empty result.
     """
+    out = classed(docs, similarity, shingle, sketches, picks)
+    return out.select("doc_id", "class_id", (F.col("vid").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+
+
+def text_id(text: Column) -> Column:
+    """128 bits of the text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+def classed(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
+    """``near_duplicates`` as ``doc_id, vid, component, class_id``: vid names the text and component its class, even where doc_ids are null or repeated."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, rows_path = written(sketched(docs, shingle, sketches, picks), "sketches")
@@ -362,8 +372,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     pairs, pairs_path = written(pairs, "pairs")
     heads = rows.where("vid is not null").groupBy("vid").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(heads, "vid")
-    vid = F.unhex(F.substring(F.sha2(F.col("text"), 256), 1, 32))
-    texts = docs.withColumn("vid", vid).join(wanted, ["vid", "doc_id"]).dropDuplicates(["vid", "doc_id"]).select("vid", "text")
+    named, wanted = docs.withColumn("vid", text_id(F.col("text"))), wanted.toDF("_vid", "_doc_id")
+    found = named.join(wanted, (F.col("vid") == F.col("_vid")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    texts = found.dropDuplicates(["vid", "doc_id"]).select("vid", "text")
     texts, texts_path = written(texts, "texts")
     links, links_path = written(verified_pairs(pairs, texts, similarity), "links")
     comp = components(links)
@@ -376,4 +387,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     out = rows.select("doc_id", "vid").join(classes, "vid", "left")
     out = out.withColumn("class_id", F.when(F.col("vid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
     drop_path(spark, texts_path)
-    return out.select("doc_id", "class_id", (F.col("vid").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    return out.select("doc_id", "vid", "component", "class_id")

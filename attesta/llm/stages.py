@@ -27,9 +27,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the least doc_id; of rows of one doc_id, one with its text."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENTS)
+    """One document of each near-duplicate class stays, that of the least doc_id, null last; of rows of one doc_id and one text, one.
+
+    Rows without text are only copies of each other where they have one doc_id.
+    """
+    rows = minhash.classed(docs).where("vid is not null")
+    heads = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "vid")).alias("head"))
+    heads = heads.select(F.col("head.doc_id").alias("_doc_id"), F.col("head.vid").alias("_vid"))
+    named = docs.withColumn("_text_id", minhash.text_id(F.col("text")))
+    same = (F.col("_text_id") == F.col("_vid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
+    kept = named.join(heads, same, "left_semi").dropDuplicates(["doc_id", "_text_id"]).select(*DOCUMENTS)
+    return kept.unionByName(docs.where("text is null").dropDuplicates(["doc_id"]).select(*DOCUMENTS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

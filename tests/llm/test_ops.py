@@ -111,6 +111,20 @@ def test_near_duplicates_of_a_hub(spark):
     assert {x.doc_id: x.class_id for x in minhash.near_duplicates(d).collect()} == {i: root(i) for i in range(len(texts))}
 
 
+def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
+    from attesta.llm import stages
+
+    r = random.Random(13)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = f + " more"
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (3, d), (None, e), (4, e), (None, f), (None, near), (None, None), (8, None), (8, None)]
+    out = stages.drop_near_duplicates(spark, docs(spark, [(i, t, "en", "s") for i, t in rows]), "").collect()
+    got = sorted(((x.doc_id, x.text) for x in out), key=str)
+    one = next(t for i, t in got if t in (f, near))
+    assert got == sorted([(None, a), (None, b), (7, c), (3, d), (4, e), (None, one), (None, None), (8, None)], key=str)
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = [(r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 1, True), (2, 2, True), (3, 2, False), (4, 4, True), (5, 4, False), (None, None, True), (6, 6, True), (6, 6, True), (7, 7, True), (8, 8, True)], key=str)
