@@ -127,6 +127,20 @@ def rrf_fuse(spark, sf_dir):
     return retrieval.reciprocal_rank_fusion(lists, "vec_id").select("vec_id", F.round("score", 9).alias("score"), "rank")
 
 
+@query(f"""
+WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, 0 AS l, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, 1 AS l, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % 20 = 0),
+u AS (SELECT * FROM d WHERE rank <= 50 UNION ALL SELECT * FROM p WHERE rank <= 50),
+f AS (SELECT query_id, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(l * 1000 + rank) AS first FROM u GROUP BY query_id, vec_id)
+SELECT query_id, vec_id, round(s, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round_even(s, 12) DESC, first, vec_id)::INT AS rank FROM f""")
+def rrf_fuse_all(spark, sf_dir):
+    """Fuses, for each query of the stated set, its fifty nearest vectors and its fifty nearest of its label."""
+    e = table(spark, sf_dir, "embeddings")
+    q = _queries(e).withColumnRenamed("q_label", "label")
+    lists = [retrieval.dense_search(e, q, 50, "vec_id", match=m) for m in (None, "label")]
+    return retrieval.reciprocal_rank_fusion(lists, "vec_id").select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank")
+
+
 @query(f"""
 WITH d AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY {_COS}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.label = q.label),
 x AS (SELECT doc_id AS id, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS n FROM documents WHERE doc_id IN (SELECT id FROM d)),

@@ -36,6 +36,11 @@ def test_cover_rank_is_ordered(spark, sf):
     assert all(r["score"] > 0 for r in rows)
 
 
+def test_fusion_takes_the_whole_query_set(spark, sf):
+    want = {r.vec_id for r in Q.table(spark, sf, "embeddings").where("vec_id % 20 = 0").collect()}
+    assert len(want) > 2 and {r.query_id for r in Q.QUERIES["rrf_fuse_all"](spark, sf).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
