@@ -8,6 +8,8 @@ banded alignment of their words verifies each candidate.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, components, drop_path, written
 
-SHINGLE, SKETCHES, PICKS, SIMILARITY = 5, 24, 2, 0.8
+SHINGLE, SKETCHES, PICKS, SIMILARITY = 5, 72, 2, 0.8
 POSITION_BITS = 24
-#: Members of a bucket that one task compares with as many others, and bins of the word counts that bound a distance from below.
-TILE, BINS = 1000, 256
+#: A bucket with more members is crowded. Bins of the word counts that bound a distance from below, and bits of the table of how common word pairs are.
+CROWD, BINS, RARITY_BITS = 1000, 128, 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -78,20 +80,26 @@ def sketch_block(word_lists: list[list[str]], hashes: dict, shingle: int, sketch
     for i in range(shingle):
         key = key * np.uint64(0x100000001B3) + h[at + i] * _ODD[i % 5]
     key = _mix(key)
-    key = key + _occurrences(key, doc) * np.uint64(0x9E3779B97F4A7C15)
+    key = _mix(key + _occurrences(key, doc) * np.uint64(0x9E3779B97F4A7C15))
     low = np.uint64((1 << POSITION_BITS) - 1)
     where = pos.astype(np.uint64) & low
     top, most = ~low, np.uint64(2**64 - 1)
     out = np.empty((len(n), sketches), np.uint64)
+    ranked = np.empty(len(key), np.uint64)
     for j in range(sketches):
         seed = np.uint64(xxhash.xxh64_intdigest(b"", seed=j + 1))
-        ranked = (_mix(key ^ seed) & top) | where
+        np.multiply(key, seed | np.uint64(1), out=ranked)
+        ranked &= top
+        ranked |= where
         chosen = []
         for i in range(picks):
             least = np.minimum.reduceat(ranked, first)
             chosen.append(least)
             if i + 1 < picks:
-                ranked = np.where(ranked == least[doc], most, ranked)
+                if n.max() <= low:
+                    ranked[first + (least & low).astype(np.int64)] = most
+                else:  # positions wrap around
+                    ranked[ranked == least[doc]] = most
         chosen = np.stack(chosen, 1)
         empty = chosen == most
         order = np.argsort(np.where(empty, most, chosen & low), axis=1, kind="stable")
@@ -103,7 +111,7 @@ def sketch_block(word_lists: list[list[str]], hashes: dict, shingle: int, sketch
     return out.view(np.int64)
 
 
-def _sketcher(shingle: int, sketches: int, picks: int, block_words: int = 400_000):
+def _sketcher(shingle: int, sketches: int, picks: int, block_words: int = 100_000):
     schema = pa.schema([("doc_id", pa.int64()), ("vid", pa.binary()), ("sk", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -135,156 +143,262 @@ def _sketcher(shingle: int, sketches: int, picks: int, block_words: int = 400_00
     return run
 
 
+def node_id(doc_id: Column, text: Column) -> Column:
+    """Names a document by doc_id (null last) and 128 bits of the text's SHA-256, so that names sort as doc_ids do; null where the text is."""
+    flipped = F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(doc_id.isNull(), F.unhex(F.lit("01" + "00" * 8))).otherwise(F.unhex(F.concat(F.lit("00"), flipped))), F.unhex(F.substring(F.sha2(text, 256), 1, 32)))
+
+
+def id_of(node: Column) -> Column:
+    """The doc_id in a ``node_id``."""
+    value = F.conv(F.hex(F.substring(node, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", value.cast("long"))
+
+
+def text_of(node: Column) -> Column:
+    """The part of a ``node_id`` that names the text."""
+    return F.substring(node, 10, 16)
+
+
 def sketched(docs: DataFrame, shingle: int = SHINGLE, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
-    """``(doc_id, vid, sk)``: vid, 128 bits of the text's SHA-256, names the text; sk is null where it has no word."""
+    """``(doc_id, node, sk)``; sk is null where the text has no word, node where it is null."""
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id(F.col("text")).alias("vid"), "text").mapInArrow(
-        _sketcher(shingle, sketches, picks), "doc_id long, vid binary, sk array<long>"
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), node_id(doc_id, F.col("text")).alias("node"), "text").mapInArrow(
+        _sketcher(shingle, sketches, picks), "doc_id long, node binary, sk array<long>"
     )
 
 
-def candidate_pairs(sk: DataFrame, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
-    """A first round of distinct pairs ``(a, b)`` of text ids that share a sketch, and the buckets ``(k1, vid, a, n)`` it leaves.
+def buckets_of(sk: DataFrame) -> DataFrame:
+    """``(k, h, a, n)``: the ``n`` > 1 texts that share a sketch ``k``, each by the hash ``h`` of its node, and the bucket's least hash ``a``.
 
-    A bucket of one sketch links each member to its least member ``a``, and so does each sub-bucket that shares the next
-    sketch, or the next two, as well: three rows a member and sketch at most, never all pairs of a bucket. Most classes
-    are found by these pairs; ``rest_pairs`` are those of the buckets' ``n`` members that they leave open.
+    ``sk`` has one row a text. Only hashes travel; where two nodes share one, both are compared, as candidates may be too many but never too few.
     """
-    one = sk.where("sk is not null").groupBy("vid").agg(F.first("sk").alias("sk"))
-    rows = one.select("vid", F.posexplode("sk").alias("i", "s1"), "sk").select(
-        "vid",
-        F.xxhash64("i", "s1").alias("k1"),
-        F.xxhash64("i", "s1", F.get("sk", (F.col("i") + 1) % sketches)).alias("k2"),
-        F.xxhash64("i", "s1", F.get("sk", (F.col("i") + 1) % sketches), F.get("sk", (F.col("i") + 2) % sketches)).alias("k3"),
-    )
-    pairs = None
-    for key in ("k1", "k2", "k3"):
-        heads = rows.groupBy(key).agg(F.min("vid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        linked = rows.join(heads, key)
-        if key == "k1":
-            buckets, _ = written(linked, "buckets")
-            linked = buckets
-            rows = buckets.drop("a", "n")
-        found = linked.where("a < vid").select("a", F.col("vid").alias("b"))
-        pairs = found if pairs is None else pairs.union(found)
-    return pairs.distinct(), buckets.select("k1", "vid", "a", "n")
+    rows = sk.where("sk is not null").select(F.xxhash64("node").alias("h"), F.posexplode("sk").alias("i", "s")).select("h", F.xxhash64("i", "s").alias("k"))
+    heads = rows.groupBy("k").agg(F.min("h").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(heads, "k")
+
+
+class _Words:
+    """Arrays of word hashes of texts, and how often each occurs, remembered within a batch."""
+
+    def __init__(self):
+        self.hashes, self.seen = _WordHash(), {}
+
+    def __call__(self, name, text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = self.seen.get(name)
+        if found is None:
+            words = np.array([self.hashes[w] for w in words_of(text)], np.uint64)
+            found = self.seen[name] = words, _bag(words)
+        return found
 
 
 def _profiler(batches):
-    """Number of words of each text and the counts of its words in ``BINS`` bins."""
-    schema = pa.schema([("vid", pa.binary()), ("size", pa.int64()), ("bins", pa.binary())])
-    hashes = _WordHash()
+    """Number of words of each text and the counts of its words in ``BINS`` bins, up to 255 each."""
+    schema = pa.schema([("h", pa.int64()), ("size", pa.int64()), ("bins", pa.binary())])
+    words = _Words()
     for batch in batches:
-        lists = [words_of(t) for t in batch.column("text").to_pylist()]
-        bins = [np.bincount(np.array([hashes[w] % BINS for w in x], np.int64), minlength=BINS).astype(np.int32).tobytes() for x in lists]
-        yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array([len(x) for x in lists], pa.int64()), pa.array(bins, pa.binary())], schema=schema)
-
-
-def _tile_pairs(similarity: float):
-    def run(tile: pa.Table) -> pa.Table:
-        vid, comp = tile.column("vid").to_pylist(), tile.column("component").to_pylist()
-        code: dict = {}
-        comp = np.array([code.setdefault(c, len(code)) for c in comp])
-        size = tile.column("size").to_numpy()
-        bins = np.frombuffer(b"".join(tile.column("bins").to_pylist()), np.int32).reshape(-1, BINS)
-        block, low, high = tile.column("block").to_numpy(), tile.column("low")[0].as_py(), tile.column("high")[0].as_py()
-        a, b = [], []
-        right = np.flatnonzero(block == high)
-        for i in np.flatnonzero(block == low).tolist():
-            j = right[right > i] if low == high else right
-            j = j[comp[j] != comp[i]]
-            most = np.floor(np.maximum(size[j], size[i]) * (1 - similarity) + 1e-9)
-            near = np.abs(size[j] - size[i]) <= most
-            j, most = j[near], most[near]
-            # each edit changes one count by one up or down at most, or one up and one down
-            apart = (np.abs(bins[j] - bins[i]).sum(1) + np.abs(size[j] - size[i])) // 2
-            for x in j[apart <= most].tolist():
-                a.append(min(vid[i], vid[x]))
-                b.append(max(vid[i], vid[x]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        words.seen.clear()
+        found = [words(i, t) for i, t in enumerate(batch.column("text").to_pylist())]
+        bins = [np.minimum(np.bincount((w % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for w, _ in found]
+        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([len(w) for w, _ in found], pa.int64()), pa.array(bins, pa.binary())], schema=schema)
+
+
+def _near_in_groups(similarity: float):
+    """Pairs of rows of one ``key``, of different components, that length and word counts don't keep apart.
+
+    Rows come sorted by key, and a key has few rows (``CROWD``, or twice that). Rows of one ``side`` are not compared with each other, unless it is 0.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(key, h, comp, side, size, bins):
+        n = len(key)
+        end = np.searchsorted(key, key, "right") if n else key
+        i, step = np.arange(n), 1
+        while True:
+            i = i[i + step < end[i]]
+            if not len(i):
+                return
+            for part in range(0, len(i), 20_000):
+                x = i[part : part + 20_000]
+                y = x + step
+                most = np.floor(np.maximum(size[x], size[y]) * (1 - similarity) + 1e-9)
+                fit = (comp[x] != comp[y]) & (np.abs(size[x] - size[y]) <= most) & ((side[x] == 0) | (side[x] != side[y]))
+                x, y, most = x[fit], y[fit], most[fit]
+                if len(x):
+                    # each edit changes one count by one up or down at most, or one up and one down
+                    apart = (np.maximum(bins[x], bins[y]) - np.minimum(bins[x], bins[y])).sum(1, dtype=np.int64)
+                    fit = (apart + np.abs(size[x] - size[y])) // 2 <= most
+                    x, y = h[x[fit]], h[y[fit]]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+            step += 1
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            raw = b"".join(batch.column("bins").to_pylist())
+            new = [batch.column(c).to_numpy() for c in ("key", "h", "component", "side", "size")] + [np.frombuffer(raw, np.uint8).reshape(-1, BINS)]
+            rows = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last key may go on
+            if cut:
+                yield from pairs(*[x[:cut] for x in rows])
+            held = [x[cut:] for x in rows]
+        if held is not None:
+            yield from pairs(*held)
 
     return run
 
 
-def rest_pairs(buckets: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs of one bucket that lie in different components ``comp (node, component)``, as far as they can reach ``similarity``.
+def _grouped_pairs(rows: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of ``_near_in_groups`` for rows ``(key, side, h, component)``."""
+    both = rows.join(profiles, "h").select("key", "h", "component", "side", "size", "bins")
+    return both.repartition("key").sortWithinPartitions("key").mapInArrow(_near_in_groups(similarity), "a long, b long").distinct()
+
 
-    Only buckets with members of several components are open; in them each pair but those with the least member, which are
-    compared already, is held against the bounds that lengths and counts of words set, in tiles of ``TILE`` by ``TILE``
-    members. No pair that could align is left out, so a bucket of many unlike texts costs the square of its members here.
+def _word_pairs(similarity: float, rarity: np.ndarray | None):
+    """Occurrence-labelled pairs of neighbouring words: without ``rarity`` their counts in its bins, with it the rarest of each text.
+
+    A text at an edit similarity of s to another shares all but 2 (1 - s) of its pairs with it, so the two have one of
+    the rarest 2 (1 - s), and one more, in common, whatever the order that rarity is measured in.
     """
-    nodes = comp.withColumnRenamed("node", "vid").dropDuplicates(["vid"])
-    rows = buckets.where("n > 2").join(nodes, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-    mixed = rows.groupBy("k1").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("k1")
-    rows, _ = written(rows.where("a < vid").join(mixed, "k1"), "open")
-    profiles = texts.join(rows.select("vid").distinct(), "vid", "left_semi").select("vid", "text").mapInArrow(_profiler, "vid binary, size long, bins binary")
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select("k1", "low", "high", "block", "vid", "component")
-    tiles = rows.join(profiles, "vid").groupBy("k1", "low", "high")
-    return tiles.applyInArrow(_tile_pairs(similarity), "a binary, b binary").distinct()
+    bits = np.uint64(RARITY_BITS)
+    counts = pa.schema([("bin", pa.int64()), ("n", pa.int64())])
+    rarest = pa.schema([("h", pa.int64()), ("token", pa.int64())])
+
+    def run(batches):
+        words = _Words()
+        for batch in batches:
+            words.seen.clear()
+            tokens = []
+            for r, t in enumerate(batch.column("text").to_pylist()):
+                w, _ = words(r, t)
+                ends = np.concatenate([w, np.zeros(1, np.uint64)])
+                t = _mix(ends[:-1] * _ODD[0] + ends[1:] * _ODD[1])
+                tokens.append(_mix(t + _occurrences(t, np.zeros(len(t), np.int64)) * _ODD[2]))
+            if rarity is None:
+                found, n = np.unique(np.concatenate(tokens) >> (np.uint64(64) - bits), return_counts=True) if tokens else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.int64)), pa.array(np.array(n, np.int64))], schema=counts)
+                continue
+            owner, out = [], []
+            for h, t in zip(batch.column("h").to_pylist(), tokens):
+                lost = int(len(t) * 2 * (1 - similarity) + 1e-9)
+                first = t[np.lexsort((t, rarity[t >> (np.uint64(64) - bits)]))[: lost + 1]]
+                out.append(first.view(np.int64))
+                owner.append(np.full(len(first), h, np.int64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(np.concatenate(out))], schema=rarest)
+
+    return run
+
 
+def rest_pairs(buckets: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of texts in different components that share a bucket, or lie in crowded ones, as far as they can reach ``similarity``.
 
-def _coded(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    seen: dict = {}
-    x = np.array([seen.setdefault(w, len(seen)) for w in a], np.int32)
-    y = np.array([seen.setdefault(w, len(seen)) for w in b], np.int32)
-    return x, y, len(seen)
+    Only buckets with members of several components ``comp (h, component)`` are open. Up to ``crowd`` members, every pair
+    is held against the bounds that lengths and counts of words set, so a text meets at most that many others a sketch.
+    The texts of larger open buckets, such as those around a passage that very many share, are grouped by their rarest word
+    pairs instead: any two that align at ``similarity`` have one in common. How common a word pair is comes from a table of
+    2^RARITY_BITS counts over these texts, whatever their number. Groups that are crowded themselves are cut into tiles.
+    """
+    spark = buckets.sparkSession
+    rows = buckets.where("n > 2").join(comp, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    mixed = rows.groupBy("k").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("k")
+    rows, rows_path = written(rows.join(mixed, "k").select("k", "n", "h", "component"), "open")
+    mine = texts.join(rows.select("h").distinct(), "h", "left_semi")
+    profiles, profiles_path = written(mine.select("h", "text").mapInArrow(_profiler, "h long, size long, bins binary"), "profiles")
+    few = rows.where(F.col("n") <= crowd).select(F.col("k").alias("key"), F.lit(0).alias("side"), "h", "component")
+    pairs = _grouped_pairs(few, profiles, similarity)
+    many = rows.where(F.col("n") > crowd).select("h", "component").distinct()
+    if many.limit(1).count():
+        crowded = texts.join(many.select("h").distinct(), "h", "left_semi").select("h", "text")
+        counts = crowded.mapInArrow(_word_pairs(similarity, None), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # 2^RARITY_BITS rows at most
+        rarity = np.zeros(1 << RARITY_BITS, np.int64)
+        rarity[counts.column("bin").to_numpy()] = counts.column("n").to_numpy()
+        tokens = crowded.mapInArrow(_word_pairs(similarity, rarity), "h long, token long").join(many, "h")
+        tokens, tokens_path = written(tokens, "word-pairs")
+        sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+        blocks = F.ceil(F.col("n") / crowd).cast("int")
+        tiles = tokens.join(sizes.select("token", "n"), "token").withColumn("block", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        low, high = F.least("block", "other"), F.greatest("block", "other")
+        tiles = tiles.select(F.xxhash64("token", low, high).alias("key"), F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2).alias("side"), "h", "component")
+        pairs = pairs.union(_grouped_pairs(tiles, profiles, similarity)).distinct()
+        pairs, _ = written(pairs, "rest")
+        drop_path(spark, tokens_path)
+    else:
+        pairs, _ = written(pairs, "rest")
+    drop_path(spark, rows_path)
+    drop_path(spark, profiles_path)
+    return pairs
 
 
 def _band(pairs: list[tuple[np.ndarray, np.ndarray]], w: int) -> np.ndarray:
     """Edit distance of each pair along paths within ``w`` of the diagonal; right wherever it is at most w."""
-    big = np.int32(1 << 28)
     wide = 2 * w + 1
     rows = max(len(a) for a, _ in pairs)
     cols = max(max(len(b) for _, b in pairs), rows) + w
-    A = np.full((len(pairs), rows), -1, np.int32)
-    B = np.full((len(pairs), w + cols + wide), -2, np.int32)
+    kind = np.int16 if cols < 8000 else np.int32
+    big = kind(1 << (14 if kind is np.int16 else 28))
+    A = np.full((len(pairs), rows), 1, np.uint64)  # 1 and 2 stand beyond the ends
+    B = np.full((len(pairs), w + cols + wide), 2, np.uint64)
     for p, (a, b) in enumerate(pairs):
         A[p, : len(a)] = a
         B[p, w : w + len(b)] = b
-    steps = np.arange(wide, dtype=np.int32)
-    row = np.broadcast_to(np.where(steps >= w, steps - w, big), (len(pairs), wide)).astype(np.int32)
+    steps = np.arange(wide, dtype=kind)
+    row = np.broadcast_to(np.where(steps >= w, steps - kind(w), big), (len(pairs), wide)).astype(kind)
     last = np.array([len(a) for a, _ in pairs])
     goal = np.array([len(b) - len(a) for a, b in pairs]) + w
-    out = np.full(len(pairs), big, np.int32)
+    out = np.full(len(pairs), 1 << 28, np.int64)
     inside = (goal >= 0) & (goal < wide)
-
-    def settle(i):
-        now = np.flatnonzero((last == i) & inside)
-        out[now] = row[now, goal[now]]
-
-    settle(0)
-    for i in range(1, rows + 1):
-        new = row + (B[:, i - 1 : i - 1 + wide] != A[:, i - 1 : i])
-        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
-        new -= steps
-        np.minimum.accumulate(new, axis=1, out=new)
-        new += steps
-        row = np.minimum(new, big)
-        settle(i)
+    ending = set(last.tolist())
+    for i in range(rows + 1):
+        if i:
+            new = row + (B[:, i - 1 : i - 1 + wide] != A[:, i - 1 : i])
+            np.minimum(new[:, :-1], row[:, 1:] + kind(1), out=new[:, :-1])
+            new -= steps
+            np.minimum.accumulate(new, axis=1, out=new)
+            new += steps
+            row = np.minimum(new, big)
+        if i in ending:
+            now = np.flatnonzero((last == i) & inside)
+            out[now] = row[now, goal[now]]
     return out
 
 
-def word_distances(pairs: list[tuple[list[str], list[str]]], similarity: float = SIMILARITY) -> list[int | None]:
-    """Edit distance in words of each pair, None where the similarity 1 - distance / longer length is too low.
+def _hashed(words) -> np.ndarray:
+    return words if isinstance(words, np.ndarray) else np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+
 
-    Lengths and bags of words bound the distance from below; common ends are cut off; the band starts narrow and
-    doubles up to the greatest distance that would still do, so the answer is exact.
+def _bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(words, return_counts=True)
+
+
+def _apart(x: tuple, y: tuple, sizes: tuple[int, int]) -> int:
+    """Least edit distance that two texts' counts of words allow."""
+    (u, n), (v, m) = (x, y) if len(x[0]) >= len(y[0]) else (y, x)
+    if not len(v):
+        return max(sizes)
+    at = np.minimum(np.searchsorted(u, v), len(u) - 1)
+    return max(sizes) - int(np.minimum(n[at], m)[u[at] == v].sum())
+
+
+def word_distances(pairs: list[tuple], similarity: float = SIMILARITY, bags: list[tuple] | None = None) -> list[int | None]:
+    """Edit distance in words of each pair of lists of words or arrays of their hashes, None where the similarity 1 - distance / longer length is too low.
+
+    Lengths and counts of words (``bags``, if they are known) bound the distance from below; common ends are cut off; the
+    band starts narrow and doubles up to the greatest distance that would still do, so the answer is exact.
     """
     out: list[int | None] = [None] * len(pairs)
-    work = []
-    for p, (x, y) in enumerate(pairs):
-        longer = max(len(x), len(y))
-        most = int(longer * (1 - similarity) + 1e-9)
-        if x == y:
-            out[p] = 0
-            continue
-        if abs(len(x) - len(y)) > most:
+    work: dict[int, list] = {}
+    for p, (a, b) in enumerate(pairs):
+        a, b = _hashed(a), _hashed(b)
+        most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+        if abs(len(a) - len(b)) > most:
             continue
-        a, b, n = _coded(x, y)
-        diff = np.bincount(a, minlength=n) - np.bincount(b, minlength=n)
-        if max(diff[diff > 0].sum(), -diff[diff < 0].sum()) > most:
+        least = _apart(*(bags[p] if bags else (_bag(a), _bag(b))), (len(a), len(b)))
+        if least > most:
             continue
         short = min(len(a), len(b))
         unlike = np.flatnonzero(a[:short] != b[:short])
@@ -294,23 +408,28 @@ def word_distances(pairs: list[tuple[list[str], list[str]]], similarity: float =
         unlike = np.flatnonzero(a[len(a) - short :][::-1] != b[len(b) - short :][::-1])
         tail = int(unlike[0]) if len(unlike) else short
         a, b = a[: len(a) - tail], b[: len(b) - tail]
-        work.append((p, a, b, most))
-    w = 8
+        if not len(a) or not len(b):
+            out[p] = max(len(a), len(b))
+        else:
+            # the counts' bound is often near the distance: start a little above it, in steps of a quarter
+            step = math.ceil(math.log(max(1.0, least * 1.15 / 8), 1.25))
+            work.setdefault(int(8 * 1.25**step), []).append((p, a, b, most))
     while work:
-        work.sort(key=lambda t: len(t[1]))
-        again, i = [], 0
-        while i < len(work):
-            j, cells = i, 0
-            while j < len(work) and (j == i or (j - i + 1) * (len(work[j][2]) + len(work[j][1]) + 6 * w) <= 1_000_000):
+        w = min(work)
+        now = sorted(work.pop(w), key=lambda t: len(t[1]))
+        i = 0
+        while i < len(now):
+            j = i
+            while j < len(now) and (j == i or (j - i + 1) * (len(now[j][2]) + len(now[j][1]) + 6 * w) <= 500_000):
                 j += 1
-            group = work[i:j]
-            for (p, a, b, most), d in zip(group, _band([(a, b) for _, a, b, _ in group], w)):
+            group = now[i:j]
+            reach = min(w, max(most for _, _, _, most in group))
+            for (p, a, b, most), d in zip(group, _band([(a, b) for _, a, b, _ in group], reach)):
                 if d <= min(w, most):
                     out[p] = int(d)
                 elif w < most:
-                    again.append((p, a, b, most))
+                    work.setdefault(2 * w, []).append((p, a, b, most))
             i = j
-        work, w = again, w * 2
     return out
 
 
@@ -318,17 +437,20 @@ def _verifier(similarity: float):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("distance", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches):
+        words = _Words()
         for batch in batches:
-            lists = [(words_of(x), words_of(y)) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
-            found = word_distances(lists, similarity)
+            words.seen.clear()
+            names, others = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            left = [words(v, t) for v, t in zip(names, batch.column("ta").to_pylist())]
+            right = [words(v, t) for v, t in zip(others, batch.column("tb").to_pylist())]
+            found = word_distances([(x, y) for (x, _), (y, _) in zip(left, right)], similarity, [(x, y) for (_, x), (_, y) in zip(left, right)])
             keep = [i for i, d in enumerate(found) if d is not None]
-            take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("a").take(take),
-                    batch.column("b").take(take),
+                    pa.array([names[i] for i in keep], pa.binary()),
+                    pa.array([others[i] for i in keep], pa.binary()),
                     pa.array([found[i] for i in keep], pa.int64()),
-                    pa.array([1 - found[i] / max(len(lists[i][0]), len(lists[i][1]), 1) for i in keep], pa.float64()),
+                    pa.array([1 - found[i] / max(len(left[i][0]), len(right[i][0]), 1) for i in keep], pa.float64()),
                 ],
                 schema=schema,
             )
@@ -337,54 +459,49 @@ def _verifier(similarity: float):
 
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose texts ``(vid, text)`` align at ``similarity`` or more, with distance and similarity."""
+    """Those of ``pairs (a, b)`` of hashes whose texts ``(h, node, text)`` align at ``similarity`` or more: nodes ``a, b``, distance and similarity."""
     bound_batches(pairs.sparkSession)
-    both = pairs.join(texts.select(F.col("vid").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("vid").alias("b"), F.col("text").alias("tb")), "b"
-    )
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verifier(similarity), "a binary, b binary, distance long, similarity double")
+    left = texts.select(F.col("h").alias("a"), F.col("node").alias("na"), F.col("text").alias("ta"))
+    right = texts.select(F.col("h").alias("b"), F.col("node").alias("nb"), F.col("text").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "ta", "tb")
+    return both.mapInArrow(_verifier(similarity), "a binary, b binary, distance long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: ``doc_id, class_id, kept``.
 
-    Equal texts are one class. Different texts are linked where they share an Order MinHash sketch and their words,
-    in lower case, have an edit similarity of ``similarity`` or more; classes are the components of the links.
-    class_id is the least doc_id of the class and kept marks its rows (all of them, where a doc_id is repeated).
+    Equal texts are one class. Different texts are linked where they share an Order MinHash sketch, or both lie in crowded
+    buckets, and their words, in lower case, have an edit similarity of ``similarity`` or more; classes are the components
+    of the links. class_id is the least doc_id of the class and kept marks its rows (all of them, where a doc_id is repeated).
     A null text is a class of its own (class_id = doc_id, kept); texts without words are in one class only with
     equal texts. Other columns of ``docs`` are not read. An empty table gives an empty result.
     """
-    out = classed(docs, similarity, shingle, sketches, picks)
-    return out.select("doc_id", "class_id", (F.col("vid").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
-
-
-def text_id(text: Column) -> Column:
-    """128 bits of the text's SHA-256."""
-    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+    out = classed(docs, similarity, shingle, sketches, picks).withColumn("class_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(id_of(F.col("component"))))
+    return out.select("doc_id", "class_id", (F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
-def classed(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
-    """``near_duplicates`` as ``doc_id, vid, component, class_id``: vid names the text and component its class, even where doc_ids are null or repeated."""
+def classed(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, sketches: int = SKETCHES, picks: int = PICKS, crowd: int = CROWD) -> DataFrame:
+    """``near_duplicates`` as ``doc_id, node, component``: node names doc_id and text, component the least node of the class; both are null where the text is."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, rows_path = written(sketched(docs, shingle, sketches, picks), "sketches")
-    pairs, buckets = candidate_pairs(rows, sketches)
-    pairs, pairs_path = written(pairs, "pairs")
-    heads = rows.where("vid is not null").groupBy("vid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(heads, "vid")
-    named, wanted = docs.withColumn("vid", text_id(F.col("text"))), wanted.toDF("_vid", "_doc_id")
-    found = named.join(wanted, (F.col("vid") == F.col("_vid")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    texts = found.dropDuplicates(["vid", "doc_id"]).select("vid", "text")
+    rows, _ = written(sketched(docs, shingle, sketches, picks), "sketches")
+    # a text goes by its least node
+    one = rows.where("node is not null").groupBy(text_of(F.col("node")).alias("vid")).agg(F.min("node").alias("node"), F.first("sk").alias("sk"))
+    buckets, buckets_path = written(buckets_of(one), "buckets")
+    named = docs.withColumn("node", node_id(F.col("doc_id"), F.col("text"))).withColumn("h", F.xxhash64("node"))
+    texts = named.join(buckets.select("h").distinct(), "h", "left_semi").select("h", "node", "text").dropDuplicates(["h", "node"])
     texts, texts_path = written(texts, "texts")
-    links, links_path = written(verified_pairs(pairs, texts, similarity), "links")
+    first = buckets.where("a < h").select("a", F.col("h").alias("b")).distinct()
+    links, links_path = written(verified_pairs(first, texts, similarity), "links")
     comp = components(links)
-    more, more_path = written(verified_pairs(rest_pairs(buckets, comp, texts, similarity), texts, similarity), "links")
+    # any number will do for a component here, as long as equal components have equal ones
+    rest = rest_pairs(buckets, comp.select(F.xxhash64("node").alias("h"), F.xxhash64("component").alias("component")).distinct(), texts, similarity, crowd)
+    more, _ = written(verified_pairs(rest, texts, similarity), "links")
     if more.limit(1).count():
         comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more.select("a", "b")))
-    groups = heads.join(comp.withColumnRenamed("node", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-    least = groups.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    classes = groups.select("vid", "component").join(least, "component").select("vid", "component", "class_id")
-    out = rows.select("doc_id", "vid").join(classes, "vid", "left")
-    out = out.withColumn("class_id", F.when(F.col("vid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
-    drop_path(spark, texts_path)
-    return out.select("doc_id", "vid", "component", "class_id")
+    heads = rows.where("node is not null").groupBy(text_of(F.col("node")).alias("vid")).agg(F.min("node").alias("head"))
+    classes = heads.join(comp, heads["head"] == comp["node"], "left").select("vid", F.coalesce("component", "head").alias("component"))
+    out = rows.select("doc_id", "node", text_of(F.col("node")).alias("vid")).join(classes, "vid", "left")
+    for path in (texts_path, links_path, buckets_path):
+        drop_path(spark, path)
+    return out.select("doc_id", "node", "component")

@@ -31,12 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without text are only copies of each other where they have one doc_id.
     """
-    rows = minhash.classed(docs).where("vid is not null")
-    heads = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "vid")).alias("head"))
-    heads = heads.select(F.col("head.doc_id").alias("_doc_id"), F.col("head.vid").alias("_vid"))
-    named = docs.withColumn("_text_id", minhash.text_id(F.col("text")))
-    same = (F.col("_text_id") == F.col("_vid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
-    kept = named.join(heads, same, "left_semi").dropDuplicates(["doc_id", "_text_id"]).select(*DOCUMENTS)
+    heads = minhash.classed(docs).where("node = component").select("node").distinct()
+    kept = docs.withColumn("_node", minhash.node_id(F.col("doc_id").cast("long"), F.col("text"))).join(heads, F.col("_node") == F.col("node"), "left_semi")
+    kept = kept.dropDuplicates(["_node"]).select(*DOCUMENTS)
     return kept.unionByName(docs.where("text is null").dropDuplicates(["doc_id"]).select(*DOCUMENTS))
 
 

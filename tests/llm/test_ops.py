@@ -111,6 +111,45 @@ def test_near_duplicates_of_a_hub(spark):
     assert {x.doc_id: x.class_id for x in minhash.near_duplicates(d).collect()} == {i: root(i) for i in range(len(texts))}
 
 
+def _planted(r, words, edits, shared=()):
+    """A text of random words behind shared ones, and a copy with that many of its own words replaced."""
+    base = [*shared, *[f"p{r.randrange(10**6)}" for _ in range(words)]]
+    copy = list(base)
+    for k in r.sample(range(len(shared), len(base)), edits):
+        copy[k] = f"q{r.randrange(10**6)}"
+    return " ".join(base), " ".join(copy)
+
+
+def test_near_duplicates_inside_a_passage_that_all_share(spark):
+    """Near copies in crowded buckets of otherwise unlike texts are all found, whichever way a bucket is compared."""
+    r = random.Random(17)
+    shared = [f"s{k}" for k in range(200)]
+    texts = [t for _ in range(80) for t in _planted(r, 120, 25, shared)]
+    d = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    want = [i // 2 * 2 for i in range(len(texts))]
+    for crowd in (minhash.CROWD, 20):
+        rows = minhash.classed(d, crowd=crowd).select("doc_id", minhash.id_of(F.col("component")).alias("c")).collect()
+        assert [c for _, c in sorted((x.doc_id, x.c) for x in rows)] == want
+
+
+def test_recall_of_sketches_by_similarity():
+    """Share of pairs that meet in a bucket, by edit similarity: 0.9 or more down to the threshold."""
+    r = random.Random(19)
+    hashes = minhash._WordHash()
+    for words in (60, 200, 800):
+        for similarity, least in ((0.95, 1.0), (0.9, 0.99), (0.85, 0.97), (0.82, 0.92), (0.805, 0.88)):
+            texts = [t.split() for _ in range(200) for t in _planted(r, words, int(words * (1 - similarity) + 1e-9))]
+            sk = minhash.sketch_block(texts, hashes, minhash.SHINGLE, minhash.SKETCHES, minhash.PICKS)
+            assert (sk[0::2] == sk[1::2]).any(1).mean() >= least, (words, similarity)
+
+
+def test_node_ids_keep_the_order_of_doc_ids(spark):
+    ids = [None, -(2**63), -5, 0, 7, 2**63 - 1]
+    rows = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string").select("doc_id", minhash.node_id(F.col("doc_id"), F.col("text")).alias("node"))
+    got = rows.select("doc_id", minhash.id_of(F.col("node")).alias("back")).orderBy("node").collect()
+    assert [x.doc_id for x in got] == [*ids[1:], None] and all(x.doc_id == x.back for x in got)
+
+
 def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
     from attesta.llm import stages
 
