@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-#: Bounds of the model: letters of labelled text per language, documents they come from, letters told apart, languages.
-SAMPLE_CHARS, SAMPLE_DOCS, ALPHABET, MOST_LANGUAGES = 24_000, 64, 60, 128
-#: Documents are parsed in lanes of this many letters; a phrase ends where its lane ends.
-LANE = 256
+#: Bounds of the model: letters of labelled text per language, passages they come from; more languages than the third are an error.
+SAMPLE_CHARS, SAMPLE_DOCS, MOST_LANGUAGES = 24_000, 64, 1000
+#: Bytes of transition tables that are kept dense, one column a letter; the tables of further languages are sorted lists.
+DENSE_BYTES = 64 << 20
 UNDETERMINED = "und"
 
 
@@ -36,7 +36,7 @@ def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str,
 
     Texts are cut into passages all along; those of the least hash of doc_id and place are taken. The pick is a limit
     within each group that Spark applies before the shuffle, so a language with a third of all rows sends a few rows
-    from each task.
+    from each task. A column lang with more than ``MOST_LANGUAGES`` values is taken for a mistake and raises ValueError.
     """
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
     size = SAMPLE_CHARS // 8
@@ -44,128 +44,173 @@ def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str,
     picked = cut.select("lang", F.xxhash64("doc_id", "i").alias("h"), F.substring(F.col("text"), F.col("i") * size + 1, F.lit(size)).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     found: dict[str, list[str]] = {}
-    for r in picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).orderBy("lang", "n").limit(MOST_LANGUAGES * sample_docs).collect():
+    for r in picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).orderBy("lang", "n").limit(MOST_LANGUAGES * sample_docs + 1).collect():
         found.setdefault(r["lang"], []).append(r["text"])
+    if len(found) > MOST_LANGUAGES or sum(map(len, found.values())) > MOST_LANGUAGES * sample_docs:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
     return found
 
 
-def letters(text: str) -> str:
-    """Lower-case letters with one space for every run of anything else."""
-    return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
-
-
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions (states x width, 0 for none) of the automaton of all substrings of ``codes``; state 0 is dead, 1 the root."""
-    size = 2 * len(codes) + 2
-    go = np.zeros((size, width), np.int32)
-    link, length = [0] * size, [0] * size
-    last, count = 1, 2
+@lru_cache(1)
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: its lower-case form, and 2 for a letter, 1 for a mark, which may be part of a word, else 0."""
+    lower, kind = np.arange(0x110000, dtype=np.int32), np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        x = unicodedata.category(chr(c))[0]
+        if x in "LM":
+            kind[c] = 2 if x == "L" else 1
+            low = chr(c).lower()
+            if len(low) == 1:
+                lower[c] = ord(low)
+    return lower, kind
+
+
+def letters(text: str) -> np.ndarray:
+    """Code points of the text's lower-case letters and marks, with one space (32) for every run of anything else, none at the ends."""
+    lower, kind = _code_points()
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(kind[c] > 0, lower[c], 32)
+    space = c == 32
+    keep = ~space
+    keep[1:] |= space[1:] & ~space[:-1]
+    c = c[keep]
+    if len(c) and c[0] == 32:
+        c = c[1:]
+    return c[:-1] if len(c) and c[-1] == 32 else c
+
+
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings of ``codes``; state 0 is dead, 1 the root."""
+    go: list[dict[int, int]] = [{}, {}]
+    link, length = [0, 0], [0, 0]
+    last = 1
     for c in codes:
-        new = count
-        count += 1
-        length[new] = length[last] + 1
+        new = len(go)
+        go.append({})
+        link.append(1)
+        length.append(length[last] + 1)
         p = last
-        while p and not go[p, c]:
-            go[p, c] = new
+        while p and c not in go[p]:
+            go[p][c] = new
             p = link[p]
-        if not p:
-            link[new] = 1
-        else:
-            q = int(go[p, c])
+        if p:
+            q = go[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                twin = count
-                count += 1
-                length[twin] = length[p] + 1
-                go[twin] = go[q]
-                link[twin] = link[q]
-                while p and go[p, c] == q:
-                    go[p, c] = twin
+                twin = len(go)
+                go.append(dict(go[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p and go[p].get(c) == q:
+                    go[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return go[:count]
+    return go
 
 
 class CrossParser:
-    """The automata of all languages and a table from code points to letter classes."""
-
-    def __init__(self, texts: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS, alphabet: int = ALPHABET):
-        samples = {k: " ".join(letters(t) for t in v)[:sample_chars] for k, v in sorted(texts.items())}
-        samples = {k: v for k, v in samples.items() if v.strip()}
-        counts: dict[str, int] = {}
-        for v in samples.values():
-            for c in v:
-                counts[c] = counts.get(c, 0) + 1
-        common = sorted((c for c in counts if c != " "), key=lambda c: (-counts[c], c))[:alphabet]
+    """The automata of all languages, each over the letters of its own sample."""
+
+    def __init__(self, texts: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS, dense_bytes: int = DENSE_BYTES):
+        samples = {}
+        for k, v in sorted(texts.items()):
+            parts = [x for t in v for x in (letters(t), np.array([32], np.int32))]
+            found = np.concatenate(parts)[:-1][:sample_chars] if parts else np.zeros(0, np.int32)
+            if (found != 32).any():
+                samples[k] = found
         self.languages = list(samples)
-        # classes: 0 padding, 1 space or any non-letter, 2 a letter outside the alphabet, 3.. the alphabet
-        self.width = len(common) + 3
-        code = {c: i + 3 for i, c in enumerate(common)} | {" ": 1}
-        self.classes = _letter_classes().copy()
-        for c, i in code.items():
-            if c != " ":
-                for x in {c, c.upper(), c.title()}:
-                    if len(x) == 1:
-                        self.classes[ord(x)] = i
-        self.tables = [suffix_automaton([code.get(c, 2) for c in v], self.width) for v in samples.values()]
+        self.alphabet = np.unique(np.concatenate([np.zeros(0, np.int32), *samples.values()]))
         self.bits = np.array([math.log2(max(2, len(v))) for v in samples.values()])
-
-    def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases (lanes x languages) that the rows of class codes need; 0 pads the end of a lane."""
-        out = np.zeros((len(lanes), len(self.tables)), np.int64)
-        order = np.argsort(-(lanes != 0).sum(1), kind="stable")
-        steps = np.ascontiguousarray(lanes[order].T)
-        live = (steps != 0).sum(1)
-        for k, go in enumerate(self.tables):
-            flat, w = go.ravel(), self.width
-            state = np.ones(len(lanes), np.int32)
-            count = np.zeros(len(lanes), np.int32)
-            root = go[1]
-            for i in range(steps.shape[0]):
+        tables, widths, codes = [], [], []
+        for v in samples.values():
+            own = np.unique(v)
+            # a letter that the sample lacks is 0 and leads nowhere
+            code = np.zeros(len(self.alphabet) + 1, np.int64)
+            code[np.searchsorted(self.alphabet, own)] = np.arange(1, len(own) + 1)
+            tables.append(suffix_automaton(code[np.searchsorted(self.alphabet, v)].tolist()))
+            widths.append(len(own) + 1)
+            codes.append(code)
+        left, dense, sparse = dense_bytes, [], []
+        for k in sorted(range(len(tables)), key=lambda k: len(tables[k]) * widths[k]):
+            left -= 4 * len(tables[k]) * widths[k]
+            (dense if left >= 0 else sparse).append(k)
+        self.groups = []
+        for chosen, full in ((sorted(dense), True), (sorted(sparse), False)):
+            if not chosen:
+                continue
+            base = np.concatenate([[0], np.cumsum([len(tables[k]) * widths[k] for k in chosen])]).astype(np.int64)
+            keys, values = [], []
+            for k, at in zip(chosen, base.tolist()):
+                keys += [at + s * widths[k] + c for s, t in enumerate(tables[k]) for c in t]
+                values += [x for t in tables[k] for x in t.values()]
+            keys, values = np.array(keys, np.int64), np.array(values, np.int32)
+            if full:
+                flat = np.zeros(int(base[-1]), np.int32)
+                flat[keys] = values
+                keys, values = None, flat
+            else:
+                order = np.argsort(keys)
+                keys, values = keys[order], values[order]
+            self.groups.append((np.array(chosen), base[:-1, None], np.array([[widths[k]] for k in chosen]), np.stack([codes[k] for k in chosen]), keys, values))
+
+    def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Phrases (documents x languages) that each document of ``letters`` is parsed into.
+
+        All documents and languages go one letter on in each step; documents that are done drop out.
+        """
+        out = np.zeros((len(docs), len(self.languages)), np.int64)
+        sizes = np.array([len(d) for d in docs], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        if not len(docs) or not sizes[0] or not self.groups:
+            return out
+        flat = np.concatenate([docs[i] for i in order])
+        place = np.searchsorted(self.alphabet, flat)
+        place[self.alphabet[np.minimum(place, len(self.alphabet) - 1)] != flat] = len(self.alphabet)
+        begin = np.cumsum(sizes) - sizes
+        live = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+        for chosen, base, width, codes, keys, values in self.groups:
+            state = np.ones((len(chosen), len(docs)), np.int64)
+            count = np.zeros((len(chosen), len(docs)), np.int64)
+
+            def step(at):
+                if keys is None:
+                    return values[at]
+                found = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+                return np.where(keys[found] == at, values[found], 0)
+
+            root = np.zeros(codes.shape, np.int64)
+            for x in range(0, codes.shape[1], 1 << 16):
+                root[:, x : x + (1 << 16)] = step(base + width + codes[:, x : x + (1 << 16)])
+            for i in range(int(sizes[0])):
                 n = live[i]
-                if not n:
-                    break
-                c = steps[i, :n]
-                nxt = flat[state[:n] * w + c]
-                stop = nxt == 0
-                again = root[c]
-                # a phrase ends; a letter that the sample lacks is one more by itself
-                count[:n] += stop
-                count[:n] += stop & (again == 0) & (state[:n] != 1)
-                nxt = np.where(stop, np.where(again == 0, 1, again), nxt)
-                state[:n] = nxt
-            count += (state != 1) & (lanes[order, 0] != 0)
-            out[order, k] = count
+                here = place[begin[:n] + i]
+                now = state[:, :n]
+                new = step(base + now * width + codes[:, here])
+                stop = new == 0
+                if stop.any():
+                    again = root[:, here]
+                    lone = stop & (again == 0)
+                    # a phrase ends; a letter that the sample lacks is one more by itself
+                    count[:, :n] += stop
+                    count[:, :n] += lone & (now != 1)
+                    new = np.where(stop, np.where(lone, 1, again), new)
+                state[:, :n] = new
+            out[order[:, None], chosen[None, :]] = (count + ((state != 1) & (sizes > 0))).T
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a letter (texts x languages) and whether the text has a letter at all."""
-        out = np.full((len(texts), len(self.tables)), np.inf)
-        has = np.zeros(len(texts), bool)
-        lanes, owner, sizes = [], [], np.zeros(len(texts))
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            c = self.classes[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
-            keep = c != 1
-            has[i] = keep.any()
-            if not has[i]:
-                continue
-            keep[1:] |= c[:-1] != 1  # one space stands for a run
-            c = c[keep]
-            sizes[i] = len(c)
-            rows = -(-len(c) // LANE)
-            padded = np.zeros(rows * LANE, np.uint8)
-            padded[: len(c)] = c
-            lanes.append(padded.reshape(rows, LANE))
-            owner.append(np.full(rows, i))
-        if lanes and self.tables:
-            who = np.concatenate(owner)
-            total = np.zeros((len(texts), len(self.tables)))
-            np.add.at(total, who, self.phrases(np.concatenate(lanes)))
-            out[has] = total[has] * self.bits / sizes[has, None]
+        kind = _code_points()[1]
+        docs = [letters(t or "") for t in texts]
+        has = np.array([bool((kind[d] == 2).any()) for d in docs], bool)
+        out = np.full((len(texts), len(self.languages)), np.inf)
+        rows = np.flatnonzero(has)
+        if len(rows) and self.languages:
+            sizes = np.array([len(docs[i]) for i in rows])
+            out[rows] = self.phrases([docs[i] for i in rows]) * self.bits / sizes[:, None]
         return out, has
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -180,15 +225,6 @@ class CrossParser:
         return [self.languages[b] if h else UNDETERMINED for b, h in zip(best, has)], score
 
 
-@lru_cache(1)
-def _letter_classes() -> np.ndarray:
-    table = np.full(0x110000, 1, np.uint8)
-    for c in range(0x110000):
-        if unicodedata.category(chr(c))[0] == "L":
-            table[c] = 2
-    return table
-
-
 _PARSERS: dict = {}
 
 
@@ -204,7 +240,7 @@ def identified(docs: DataFrame, texts: dict[str, list[str]], keep: tuple[str, ..
 
     lang_pred is a language of ``texts``, or ``und`` with score 0 where the text is null or has no letter (or where
     no labelled text is given). score is 1 where no other language comes near, 1 / languages where all tie; the
-    first language in code point order wins ties. Whole texts are parsed, in lanes that bound the memory.
+    first language in code point order wins ties. Whole texts are parsed, a bounded number of letters at a time.
     """
     bound_batches(docs.sparkSession)
     texts = {k: list(v) for k, v in sorted(texts.items())}
