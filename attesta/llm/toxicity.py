@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, written
 from .langid import held_out
 
-#: Bound of the labelled rows that the model is learned from, of its units, and of the prior as a share of all counts.
-SAMPLE_ROWS, MOST_UNITS, PRIOR = 20_000, 100_000, 0.05
+#: Bound of the labelled rows that the model is learned from (its units follow from them), and the prior as a share of all counts.
+SAMPLE_ROWS, PRIOR = 20_000, 0.05
 #: Cost of a token; least z of a unit; prefixes that stand in for unknown words; E-value of a significant passage.
 COST, LEAST_Z, PREFIXES, SIGNIFICANT = 0.7, 3.0, (5, 4), 0.05
 THRESHOLD = 0.3
@@ -188,7 +188,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS)
     """Texts ``(text, toxic)`` of about ``most`` labelled rows at most that aren't held out, by hash of doc_id.
 
     Copies of a text are no independent witnesses: of texts that agree in the least hash of their three-word shingles, as
-    copies and most near copies do, one is taken, a toxic one if there is one.
+    copies and most near copies do, one is taken, a toxic one if there is one, of those the last in code point order.
     """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -200,7 +200,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS)
     words = F.split(F.lower("text"), r"\s+")
     later = lambda k: F.slice(words, k + 1, 1 << 30)
     shingles = F.zip_with(F.zip_with(words, later(1), lambda a, b: F.xxhash64(a, b)), later(2), lambda a, b: F.xxhash64(a, b))
-    return found.groupBy(F.array_min(shingles).alias("h")).agg(F.max_by("text", "toxic").alias("text"), F.max("toxic").alias("toxic")).drop("h")
+    return found.groupBy(F.array_min(shingles).alias("h")).agg(F.max_by("text", F.struct("toxic", "text")).alias("text"), F.max("toxic").alias("toxic")).drop("h")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
@@ -214,17 +214,17 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model
     frequent = counts.where("toxic + clean >= 5")
     # only units that lean to one side, and the words under a toxic prefix, can matter
     lean = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * F.lit((n0 + 1) / (n1 + 1))
-    leaning = frequent.where((lean > 2) | (lean < 0.5)).orderBy(F.desc(F.col("toxic") + F.col("clean")), "unit").limit(MOST_UNITS)
-    rows = [tuple(r) for r in leaning.collect()]
+    leaning = frequent.where((lean > 2) | (lean < 0.5))
+    rows = [tuple(r) for r in leaning.collect()]  # at most a fifth of the sample's words
     toxic_prefixes = [u for u, d in learned_units(rows, n1, n0).items() if u.endswith("*") and d > COST]
     if toxic_prefixes:
         near = F.lit(False)
         for n in PREFIXES:
             ends = [u[:-1] for u in toxic_prefixes if len(u) == n + 1]
             near = near | F.substring("unit", 1, n).isin(ends) if ends else near
-        rows += [tuple(r) for r in frequent.where((lean <= 2) & (lean >= 0.5) & ~F.endswith("unit", F.lit("*")) & near).limit(MOST_UNITS).collect()]
-    model = Model(learned_units(rows, n1, n0))
-    shared = spark.sparkContext.broadcast(model)  # at most 2 x MOST_UNITS units
+        rows += [tuple(r) for r in frequent.where((lean <= 2) & (lean >= 0.5) & ~F.endswith("unit", F.lit("*")) & near).collect()]
+    model = Model(learned_units(sorted(rows), n1, n0))
+    shared = spark.sparkContext.broadcast(model)  # units of the bounded sample
 
     def scan(batches):
         m = shared.value
