@@ -3,21 +3,23 @@
 Records hash into ``SLOTS`` virtual slots; bytes are summed per slot; a map gives each slot its shard. Version 1 of
 the map is ``slot mod shards``. Rebalancing makes a new version by editing: a slot stays at home while the home
 shard is below the mean, and the rest go, largest first, to the emptiest shard. Only the map is ever rewritten; the
-slot of a record never changes.
+slot of a record never changes. All versions stay in one table, so that a reader finds the map that a file was written by.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import new_path, written
 
 SLOTS, SHARDS = 4096, 16
 
 
-def slot_of(key, slots: int = SLOTS):
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(doc_id, text, slots: int = SLOTS):
+    """Virtual slot of a record, by a hash of id and text: rows that share an id with a third of all rows are spread like others."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
 def record_size(text):
@@ -64,13 +66,43 @@ def edited_map(current: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, rebalances: int = 1) -> DataFrame:
+def write_map(slot_map: DataFrame, path: str) -> None:
+    """Adds a version to the table of maps at ``path``; a version that is there already is an error, as maps are only ever added."""
+    version = slot_map.select("version").first()
+    if version is not None:
+        slot_map.drop("version").coalesce(1).write.parquet(f"{path}/version={version['version']}")
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """One version of the table of maps at ``path``, the last one by default."""
+    maps = spark.read.parquet(path)
+    if version is None:
+        version = maps.agg(F.max("version")).first()[0]
+    return maps.where(F.col("version") == version)
+
+
+def rebalanced(spark: SparkSession, path: str, weights: DataFrame | None = None, shards: int = SHARDS) -> DataFrame:
+    """Edits the last version at ``path`` into the next, stores it and returns it; ``weights (vslot, bytes, n)`` replaces the sizes, if given.
+
+    Slots that are new in ``weights`` start at home, ``vslot mod shards``; those that are gone leave the map.
+    """
+    current = read_map(spark, path)
+    if weights is not None:
+        version = current.agg(F.max("version").alias("version"))
+        current = weights.join(current.select("vslot", "shard"), "vslot", "left").crossJoin(F.broadcast(version))
+        current = current.withColumn("shard", F.coalesce("shard", F.col("vslot") % shards))
+    write_map(edited_map(current, shards), path)
+    return read_map(spark, path)
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, rebalances: int = 1, maps: str | None = None) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version`` for every row of ``docs``.
 
     The law is ``bytes``: shards hold nearly equal sizes. ``slot`` is the row's place in its shard, gapless from 0:
     the rows of the shard's earlier virtual slots come first, then those of its own by doc_id. Null texts have size 1 and
-    checksum 0; null doc_ids share one virtual slot, as repeated doc_ids do; equal rows take neighbouring places.
-    grown_shard is null under this law. Columns of ``docs`` besides doc_id and text are not read.
+    checksum 0; null doc_ids are spread by text, as repeated doc_ids are; rows equal in doc_id and text take neighbouring
+    places. grown_shard is null under this law. Columns of ``docs`` besides doc_id and text are not read. The versions of the
+    map are kept in the table ``maps``, a new one in the shared folder by default.
 
     The rows shuffle once, by virtual slot, without their text. Slots are counted with map-side sums.
     """
@@ -78,14 +110,18 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, r
         F.col("doc_id").cast("long").alias("doc_id"),
         record_size(F.col("text")).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
-        slot_of(F.col("doc_id").cast("long"), slots).alias("vslot"),
+        slot_of(F.col("doc_id").cast("long"), F.col("text"), slots).alias("vslot"),
     )
     rows, _ = written(rows, "records")
     weights = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    slot_map = first_map(weights, shards)
-    for _ in range(rebalances):
-        slot_map = edited_map(slot_map, shards)
-    slot_map, _ = written(slot_map, "slot-map")
+    spark, maps = docs.sparkSession, maps or new_path(docs.sparkSession, "slot-maps")
+    if weights.limit(1).count():
+        write_map(first_map(weights, shards), maps)
+        for _ in range(rebalances):
+            rebalanced(spark, maps, shards=shards)
+        slot_map = read_map(spark, maps)
+    else:
+        slot_map = first_map(weights, shards)
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     placed = slot_map.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     within = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")
