@@ -4,11 +4,13 @@ File format: frames, each the little-endian unsigned 32-bit ids of whole documen
 (0x184D2A50) with the compressed document index (frame, first id in the frame, ids, null mark and doc_id of each document);
 and the seek table of Zstandard's seekable format: a skippable frame (0x184D2A5E) with compressed size,
 decompressed size and checksum (low half of the XXH64 of the data) per frame, then the number of frames, the descriptor
-(0x80: with checksums) and 0x8F92EAB1. A reader finds a document by the index and decompresses its frame only.
+(0x80: with checksums) and 0x8F92EAB1. A reader finds a document by the index and decompresses its frame only. A frame holds one document; a
+writer may be asked to fill frames up to a number of ids instead, which takes less space and makes a reader decompress neighbours too.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -27,7 +29,7 @@ from .common import bound_batches, new_path, written
 from .interned import Interned
 
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-FRAME_IDS, LEVEL, END_ID = 1 << 16, 3, 0
+FRAME_IDS, LEVEL, END_ID = 0, 3, 0
 INDEX = np.dtype([("frame", "<u4"), ("first", "<u4"), ("ids", "<u4"), ("null", "u1"), ("doc_id", "<i8")])
 #: White space on both sides of a space: there, splitting at spaces could change how the tokenizer splits.
 _UNSAFE = re.compile(r"\s (?!\S)")
@@ -37,13 +39,22 @@ _UNSAFE = re.compile(r"\s (?!\S)")
 _PARTS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)?(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)?)?")
 
 
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's description is of the byte-level kind whose words may be encoded one by one."""
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    ahead = any(re.search(r"\s|^[A-Za-zÀ-ÿ.,;:!?]+$", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or ())
+    return plain and not spec.get("normalizer") and not ahead and (spec.get("model") or {}).get("type") == "BPE" and not (spec["model"].get("dropout") or spec["model"].get("ignore_merges"))
+
+
 class Encoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library.
 
     Its pre-tokenizer never joins what stands before a space to what follows a non-space, so a text is split at
     spaces, plain pieces into words and punctuation, every distinct one is encoded once by the library, and the ids
     are put together. Texts where
-    white space makes that unsafe are encoded whole. Known pieces are kept, up to a bound.
+    white space makes that unsafe are encoded whole, and so are all texts where the tokenizer's file names another
+    normalizer, pre-tokenizer or model than those this holds for, or tokens that are matched ahead of them. Known pieces are kept, up to a bound.
     """
 
     def __init__(self, path: str):
@@ -51,13 +62,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
+        with open(path, encoding="utf-8") as f:
+            self.splits = splits_at_spaces(json.load(f))
         self.pieces, self.words = Interned(self._part, most=300_000), Interned(self._encode, most=300_000)
 
     def _part(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words, counts = [], []
         for p in pieces:
-            found = _PARTS.fullmatch(p)
+            found = _PARTS.fullmatch(p) if self.splits else None
             parts = [x for x in found.groups() if x] if found else [p]
             words += parts
             counts.append(len(parts))
@@ -75,7 +87,7 @@ class Encoder:
             n = len(pieces)
             if not t:
                 pass
-            elif _UNSAFE.search(t):
+            elif not self.splits or _UNSAFE.search(t):
                 pieces.append(t)
             else:
                 first, *rest = t.split(" ")
@@ -98,12 +110,12 @@ def encoder(path: str) -> Encoder:
 class Writer:
     """Writes one file to an open binary stream."""
 
-    def __init__(self, out):
-        self.out, self.pack = out, zstandard.ZstdCompressor(level=LEVEL)
+    def __init__(self, out, frame_ids: int = FRAME_IDS):
+        self.out, self.pack, self.frame_ids = out, zstandard.ZstdCompressor(level=LEVEL), frame_ids
         self.frames, self.index, self.held, self.size, self.ids = [], [], [], 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        if self.held and self.size + len(ids) > FRAME_IDS:
+        if self.held and self.size + len(ids) > self.frame_ids:
             self._close_frame()
         self.index.append((len(self.frames), self.size, len(ids), doc_id is None, doc_id or 0))
         self.held.append(np.ascontiguousarray(ids, dtype="<u4"))
