@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, components, written
 
-COSINE, DIRECTIONS, BLOCK, LEAF, FAN = 0.9, 8, 2048, 128, 8
+COSINE, DIRECTIONS, LEAF, FAN = 0.9, 8, 128, 8
+#: Bytes of a block in single precision: a block meets all blocks near it, so fewer, larger ones travel less.
+BLOCK_BYTES = 2 << 20
 #: Vectors that the principal directions are fitted on, at most about; any directions give right results.
 SAMPLE_ROWS = 20_000
 #: Slack for rounding when boxes are compared; vectors themselves are compared by the cosine alone.
@@ -70,8 +72,8 @@ def gridded(distinct: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
     return distinct.select("vid", "n", "v").mapInArrow(run, "vid long, n long, v array<double>, cells array<int>")
 
 
-def blocked(cells: DataFrame, axes: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """Cuts the sorted sequence into blocks: ``part, at, vids, counts, data, lo, hi``; a block's rows share a dimension."""
+def blocked(cells: DataFrame, axes: np.ndarray, block: int | None = None) -> DataFrame:
+    """Cuts the sorted sequence into blocks of ``block`` rows, or ``BLOCK_BYTES``: ``part, at, vids, counts, data, lo, hi``; a block's rows share a dimension."""
     schema = pa.schema([
         ("part", pa.int32()), ("at", pa.int32()), ("dim", pa.int32()), ("vids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("single", pa.bool_()), ("data", pa.binary()),
         ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())),
@@ -93,7 +95,7 @@ def blocked(cells: DataFrame, axes: np.ndarray, block: int = BLOCK) -> DataFrame
 
         for batch in batches:
             for row in zip(batch.column("vid").to_pylist(), batch.column("n").to_pylist(), batch.column("v").to_pylist()):
-                if held and (len(held) == block or len(held[0][2]) != len(row[2])):
+                if held and (len(held) == (block or max(LEAF, BLOCK_BYTES // (4 * len(row[2])))) or len(held[0][2]) != len(row[2])):
                     yield made(held)
                     at, held = at + 1, []
                 held.append(row)
@@ -215,7 +217,7 @@ def joined_blocks(pairs: DataFrame, blocks: DataFrame, axes: np.ndarray, cosine:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "vid long, links long, other long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors (vec_id, embedding)``.
 
     Two rows are linked if the cosine of their vectors, in double precision, is at least ``cosine`` (over 0).
