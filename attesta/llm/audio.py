@@ -2,7 +2,7 @@
 
 A waveform is resampled by a polyphase filter, cut into overlapped frames, and turned into log-mel bands; a
 hysteresis on frame energy finds segments. Every segment is a time span and a tensor of fixed shape (``PARTS`` x
-``BANDS``), laid out as Arrow's fixed-shape tensor type stores it.
+``BANDS``); both are stored in Arrow files, the tensors as Arrow's fixed-shape tensor type.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ import io
 import struct
 import wave
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, drop_path, new_path, written
 
 RATE, UP, DOWN, TAPS = 16_000, 2, 3, 12
 WINDOW, HOP, BANDS, PARTS = 256, 128, 20, 8
@@ -147,53 +149,120 @@ def stored(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def described(media: DataFrame) -> DataFrame:
-    """What reading back ``media (doc_id, n_bytes, media)`` gives.
+#: One segment as it is stored: its time span and its tensor.
+SEGMENT = pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("mel", TENSOR)])
+STORED = pa.schema([
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("segments", pa.list_(SEGMENT)),
+])
 
-    Returns ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, segments``; segments is an array of
-    ``(start_ms, end_ms, mel)``, mel being the storage of one ``TENSOR`` value. A null media gives nulls.
+
+def segment_lists(spans: list[list[tuple[float, float, np.ndarray]] | None]) -> pa.ListArray:
+    """Lists of ``SEGMENT`` values; the tensors of all lists lie in one fixed-shape tensor array."""
+    every = [x for s in spans for x in s or ()]
+    tensors = np.stack([t for _, _, t in every]) if every else np.zeros((0, PARTS, BANDS), np.float32)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), PARTS * BANDS)
+    rows = pa.StructArray.from_arrays(
+        [pa.array([a for a, _, _ in every], pa.float64()), pa.array([b for _, b, _ in every], pa.float64()), pa.ExtensionArray.from_storage(TENSOR, storage)], fields=list(SEGMENT)
+    )
+    ends = np.concatenate([[0], np.cumsum([len(s or ()) for s in spans])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), rows, type=pa.list_(SEGMENT), mask=pa.array([s is None for s in spans], pa.bool_()))
+
+
+def write_features(media: DataFrame, path: str) -> DataFrame:
+    """Reads back ``media (doc_id, n_bytes, media)``, writes ``STORED`` rows to Arrow files under ``path``; returns the manifest ``(path, docs)``.
+
+    A null media gives nulls. A file is written under a name of its attempt and then renamed, so a task that runs again
+    leaves one whole file; a task without rows writes none. The manifest is a written table.
     """
+    from pyarrow import fs
+
     bound_batches(media.sparkSession)
-    segment = pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("mel", pa.list_(pa.float32()))])
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("segments", pa.list_(segment)),
-    ])
 
     def run(batches):
+        task = TaskContext.get()
+        store, base = fs.FileSystem.from_uri(path)
+        store.create_dir(base, recursive=True)
+        name = f"{base}/{task.partitionId():06d}.arrow"
+        attempt, out, writer, docs = f"{name}.{task.taskAttemptId()}", None, None, 0
         for batch in batches:
-            rows = []
+            rows, spans = [], []
             for data in batch.column("media"):
                 data = data.as_py()
                 if data is None:
-                    rows.append((None,) * 6)
+                    rows.append((None,) * 5)
+                    spans.append(None)
                     continue
                 payload, rate = from_wav(data)
-                spans = features(payload, rate)
-                # the type's storage, a fixed-size list, is what Spark and Parquet hold as a list
-                tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack([t for _, _, t in spans])).storage.to_pylist() if spans else []
-                rows.append((
-                    len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(),
-                    [{"start_ms": a, "end_ms": b, "mel": t} for (a, b, _), t in zip(spans, tensors)],
-                ))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:])]], schema=schema)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        run,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-        "segments array<struct<start_ms:double,end_ms:double,mel:array<float>>>",
-    )
+                spans.append(features(payload, rate))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest()))
+            if not rows:
+                continue
+            if writer is None:
+                out = store.open_output_stream(attempt)
+                writer = pa.ipc.new_file(out, STORED, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(STORED)[2:])]
+            writer.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *cols, segment_lists(spans)], schema=STORED))
+            docs += len(rows)
+        if writer is not None:
+            writer.close()
+            out.close()
+            store.move(attempt, name)
+            yield pa.RecordBatch.from_pydict({"path": [name], "docs": [docs]}, schema=pa.schema([("path", pa.string()), ("docs", pa.int64())]))
+
+    return written(media.select("doc_id", "n_bytes", "media").mapInArrow(run, "path string, docs long"), "tensor-manifest")[0]
+
+
+def stored_rows(source) -> Iterator[pa.RecordBatch]:
+    """Record batches of one file, with the tensor type in place."""
+    with pa.ipc.open_file(source) as f:
+        for i in range(f.num_record_batches):
+            yield f.get_batch(i)
+
+
+def tensors_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """Starts, ends and tensors (segments x parts x bands) of each row; None for null."""
+    lists = batch.column("segments")
+    rows = lists.values
+    start, end = (rows.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    mel = rows.field(2).to_numpy_ndarray() if len(rows) else np.zeros((0, PARTS, BANDS), np.float32)
+    cuts, none = lists.offsets.to_numpy(), lists.is_null().to_pylist()
+    return [None if n else (start[a:b], end[a:b], mel[a:b]) for n, a, b in zip(none, cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def feature_text(start: np.ndarray, end: np.ndarray, mel: np.ndarray) -> str:
+    """Number of segments, their whole span in ms, and a digest of spans and tensors rounded to two decimals."""
+    spans = np.rint(np.stack([start, end], 1) * 10).astype("<i8")
+    return f"{len(start)}:{(end - start).sum():.1f}:{hashlib.sha256(spans.tobytes() + np.rint(mel * 100).astype('<i4').tobytes()).hexdigest()}"
 
 
-def as_tensors(column: pa.Array) -> pa.FixedShapeTensorArray:
-    """A column of mel lists, as read from Parquet, as Arrow's fixed-shape tensor array."""
-    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
-    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(flat.cast(pa.float32()), PARTS * BANDS))
+def read_features(spark: SparkSession, manifest: DataFrame, base: str) -> DataFrame:
+    """What the files of a manifest hold, with ``feature``, a digest of the stored tensors, and their number ``n_segments``."""
+    from pyarrow import fs
 
+    files = manifest.count()
+    names = [f.name for f in STORED][:-1]
 
-def feature_text(segments):
-    """Number of segments, their whole span in ms, and a digest of spans and tensors rounded to two decimals."""
-    rounded = F.transform(segments, lambda s: F.concat_ws(",", F.round(s["start_ms"], 1).cast("string"), F.round(s["end_ms"], 1).cast("string"), F.array_join(F.transform(s["mel"], lambda v: F.rint(v * 100).cast("int").cast("string")), ",")))
-    length = F.aggregate(segments, F.lit(0.0), lambda acc, s: acc + s["end_ms"] - s["start_ms"])
-    return F.concat_ws(":", F.size(segments).cast("string"), F.round(length, 1).cast("string"), F.sha2(F.array_join(rounded, ";"), 256))
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with fs.FileSystem.from_uri(base)[0].open_input_file(path) as source:
+                    for rows in stored_rows(source):
+                        found = tensors_of(rows)
+                        text = pa.array([None if t is None else feature_text(*t) for t in found], pa.string())
+                        count = pa.array([None if t is None else len(t[0]) for t in found], pa.int64())
+                        yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], text, count], names=[*names, "feature", "n_segments"])
+
+    return manifest.select("path").repartition(max(1, files)).mapInArrow(
+        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments long"
+    )
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """Stores each text's media and then its features in the shared folder, and returns what ``read_features`` reads back."""
+    spark = docs.sparkSession
+    media, kept = written(stored(docs), "media")
+    path = new_path(spark, "tensors")
+    manifest = write_features(media, path)
+    drop_path(spark, kept)
+    return read_features(spark, manifest, path)

@@ -74,8 +74,7 @@ def op9_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's waveform and features."""
-    rows = audio.described(audio.stored(_table(spark, sf_dir, "documents")))
-    return rows.withColumn("feature", audio.feature_text(F.col("segments"))).drop("segments")
+    return audio.round_trip(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
