@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct words of a batch are joined into one text and its suffix array is built; every piece of the vocabulary
-is binary-searched for its range of suffixes, which gives all its occurrences as edges; edges are sorted by the
-position where they end and relaxed from left to right.
+The words of a batch, each distinct one once, are joined into one text and its suffix array is built; every piece of the
+vocabulary is binary-searched for its range of suffixes, which gives all its occurrences as edges; edges are sorted by the
+position where they end and relaxed from left to right. Nothing is kept from batch to batch unless a model is asked to.
 
 The models in question are BPE models, whose result is no best path by summed scores. So the relaxation keeps, for
 every position, the last piece of the encoding of the text up to there: an edge is taken if its piece may follow
@@ -70,9 +70,9 @@ class _Aliens:
 
 
 class Model:
-    """Pieces of a SentencePiece BPE model, with its merges and what its encoder needs."""
+    """Pieces of a SentencePiece BPE model, with its merges and what its encoder needs; ids of up to ``remember`` words stay for later batches."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = 0):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -122,7 +122,8 @@ class Model:
         self.output[self.unknown] = " ⁇ ".encode()
         self.words = re.compile(self._cuts())
         self.aliens = _Aliens(self.chars)
-        self.interned = Interned(self._encode_words, most=300_000)
+        self.remember = remember
+        self.interned = Interned(self._encode_words, most=remember)
 
     def _cuts(self) -> str:
         """A pattern of words: it cuts only between characters that no piece holds side by side."""
@@ -307,6 +308,8 @@ class Model:
                 t = self.library.normalize(t)
                 pieces += self.words.findall(t) if self.splits_words else [t]
             counts.append(len(pieces) - n)
+        if not self.remember:
+            self.interned = Interned(self._encode_words, most=0)
         return self.interned.ids(pieces, counts)
 
     def decode(self, ids: list[int]) -> str:
