@@ -316,6 +316,62 @@ def test_toxicity(spark, odd, empty):
     assert len(bare) == 10 and not any(y.predicted for y in bare)
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Unit counts, log-odds, bursts, segments, calibration and scores from their definitions; a model doesn't depend on how rows are dealt."""
+    import math
+
+    r = random.Random(30)
+    words = [f"lo{a}{b}" for a in "abcdefgh" for b in "ijklm"]
+    rows, labels = [], []
+    for i in range(500):
+        t = [r.choice(words) for _ in range(r.randrange(4, 50))]
+        if i % 5 == 0:
+            t[2:2] = [r.choice(["scumbag", "scumbags", "idiotic"]) for _ in range(r.randrange(1, 4))]
+        rows.append((i, " ".join(t), "en", "s"))
+        labels.append((i, 0, int(i % 5 == 0)))
+    d, lab = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fitted(d, lab)
+    again = toxicity.fitted(d.repartition(7), lab.repartition(3))
+    assert again.weights == model.weights and (again.lam, again.log_k, again.final) == (model.lam, model.log_k, model.final)
+    free = {t: y for (i, t, _, _), (_, _, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 4 != 2}
+    sample = [(x.text, x.toxic) for x in toxicity.labelled_sample(d, lab).collect()]
+    assert all(free[t] == y for t, y in sample) and len(sample) > 0.9 * len(free)  # some share their least shingle by chance
+    learn = [(t.split(), y) for t, y in sample]
+    counts = defaultdict(lambda: [0, 0])
+    for ws, y in learn:
+        for u in {w for w in ws} | {w[:n] + "*" for w in ws for n in toxicity.PREFIXES if len(w) > n}:
+            counts[u][0 if y else 1] += 1
+    n1, n0 = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    prior = toxicity.PRIOR * (n1 + n0)
+    for u, d1 in model.weights.items():
+        y1, y0 = counts[u]
+        a = prior * (y1 + y0) / (n1 + n0)
+        odds = math.log((y1 + a) / (n1 + prior - y1 - a)) - math.log((y0 + a) / (n0 + prior - y0 - a))
+        assert d1 == 0 or abs(odds - d1) < 1e-9 and abs(odds) >= toxicity.LEAST_Z * math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) - 1e-9
+
+    def values(ws):
+        out, met = [], defaultdict(int)
+        for w in ws:
+            v = next((model.weights[u] for u in [w, *(w[:n] + "*" for n in toxicity.PREFIXES if len(w) > n)] if u in model.weights), 0.0)
+            met[w] += v > 0
+            out.append((v / met[w] if v > 0 else v) - toxicity.COST)
+        return out
+
+    clean = [values(ws) for ws, y in learn if not y]
+    binned = [math.floor(max(-8, min(v, 7.99)) * 4) / 4 + 0.125 for vs in clean for v in vs]
+    assert abs(sum(math.exp(model.lam * v) for v in binned) / len(binned) - 1) < 1e-6 or model.lam == 1.0
+    tops = [(max(s for _, _, s in found), len(vs)) for vs in clean if (found := brute_segments(vs))]
+    assert not tops or abs(sum(model.lam * s - math.log(n) for s, n in tops) / len(tops) - 0.5772 - model.log_k) < 1e-6
+    got = {x.doc_id: x for x in toxicity.scored(d, model).collect()}
+    for i, t, _, _ in rows[:120]:
+        vs = values(t.split())
+        e = [model.lam * s - model.log_k - math.log(len(vs)) for _, _, s in brute_segments(vs)]
+        good = [x for x in e if math.exp(-x) <= toxicity.SIGNIFICANT]
+        x = [max(-10, min(max(e, default=-model.log_k - math.log(len(vs))), 30)), min(sum(good), 60) / 4, math.log1p(len(good)), 1]
+        z = sum(a * b for a, b in zip(x, model.final))
+        assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-9 and len(got[i].passages) == len(good)
+
+
 @pytest.mark.parametrize("share", [0.5, 0.7])
 def test_toxicity_of_balanced_and_mostly_toxic_labels(spark, share):
     r = random.Random(12)
@@ -408,6 +464,24 @@ def test_byte_ids_equal_the_library():
         assert ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_path(queries.BYTE_BPE), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert token_files.splits_at_spaces(spec)
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    enc, plain = token_files.Encoder(path), Tokenizer.from_file(path)
+    ids, counts = enc.encode(TEXTS)
+    cut = np.concatenate([[0], np.cumsum(counts)])
+    assert not enc.splits and all(ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids for t, a, b in zip(TEXTS, cut[:-1], cut[1:]))
+
+
 def test_interned_shrinks():
     from attesta.llm.interned import Interned
 
@@ -431,8 +505,9 @@ def test_language(spark, sf, odd, empty):
 
 
 def test_cross_parsing_is_greedy():
-    p = langid.CrossParser({"x": ["abcabd"], "y": ["zzzz abc"]})
-    code = {c: int(p.classes[ord(c)]) for c in "abcdz"}
+    """Phrases equal those of a search for the longest match at each place, in dense and in sorted tables, whatever the length."""
+    texts = {"x": ["abcabd"], "y": ["zzzz abc"], "z": ["\u4e2d\u6587\u4e2d\u56fd \u6587"]}
+    samples = ["abcabd", "zzzz abc", "\u4e2d\u6587\u4e2d\u56fd \u6587"]
 
     def phrases(s, sample):
         n, i = 0, 0
@@ -445,11 +520,35 @@ def test_cross_parsing_is_greedy():
         return n
 
     r = random.Random(10)
-    for _ in range(200):
-        s = "".join(r.choice("abcdz") for _ in range(r.randrange(1, 20)))
-        lane = np.zeros((1, langid.LANE), np.uint8)
-        lane[0, : len(s)] = [code[c] for c in s]
-        assert p.phrases(lane)[0].tolist() == [phrases(s, "abcabd"), phrases(s, "zzzz abc")]
+    lines = [" ".join("".join(r.choice("abcdz\u4e2d\u6587\u56fd\u65e5 ") for _ in range(r.choice([1, 5, 20, 700]))).split()) for _ in range(150)]
+    lines = [x for x in lines if x]
+    for dense in (langid.DENSE_BYTES, 0):
+        p = langid.CrossParser(texts, dense_bytes=dense)
+        got = p.phrases([langid.letters(x) for x in lines])
+        assert got.tolist() == [[phrases(x, s) for s in samples] for x in lines]
+
+
+def test_language_of_twelve_scripts():
+    """Scripts with few and with thousands of letters are told apart."""
+    blocks = {"ar": 0x627, "bn": 0x995, "el": 0x3B1, "he": 0x5D0, "hi": 0x915, "hy": 0x561, "ja": 0x3041, "ka": 0x10D0, "ko": 0xAC00, "ru": 0x430, "th": 0xE01, "zh": 0x4E00}
+    sizes = {"ja": 80, "ko": 2000, "zh": 3000}
+    r = random.Random(4)
+
+    def text(lang, n):
+        letters = [chr(blocks[lang] + i) for i in range(sizes.get(lang, 25))]
+        return " ".join("".join(letters[min(len(letters) - 1, int(r.expovariate(8 / len(letters))))] for _ in range(r.randrange(2, 8))) for _ in range(n))
+
+    parser = langid.CrossParser({k: [text(k, 400) for _ in range(8)] for k in blocks})
+    asked = [(k, text(k, 30)) for k in blocks for _ in range(20)]
+    found, _ = parser.predict([t for _, t in asked])
+    assert sum(f == k for f, (k, _) in zip(found, asked)) >= 0.95 * len(asked)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    d = docs(spark, [(i, "some text", f"l{i % 8}", "s") for i in range(100)])
+    with pytest.raises(ValueError):
+        langid.training_texts(d)
 
 
 def test_sharding(spark, odd, empty):
@@ -468,6 +567,45 @@ def test_sharding(spark, odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_equals_brute_force(spark, tmp_path):
+    """Slots, the edited map and places in shards, all from their definitions; a third of the rows has one id."""
+    r = random.Random(21)
+    rows = [(None if i % 11 == 0 else 7 if i % 3 == 0 else i, r.choice([None, "", "é" * r.randrange(400), f"t{i}" * r.randrange(90)]), "en", "s") for i in range(1200)]
+    maps = f"file://{tmp_path}/maps"
+    got = sorted((str(x.doc_id), x.size, x.text_crc32, x.shard, x.slot, x.vslot) for x in sharding.shard_documents(docs(spark, rows), maps=maps).collect())
+    slots = defaultdict(list)
+    for i, t, _, _ in rows:
+        v = int(hashlib.sha256(f"{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:8], 16) % sharding.SLOTS
+        slots[v].append(((i is not None, i or 0), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())))
+    weight = {v: sum(x[1] for x in rs) for v, rs in slots.items()}
+    mean = sum(weight.values()) / 16
+    home, loads, movers = {}, [0] * 16, []
+    for s in range(16):
+        total = 0
+        for v in sorted((v for v in weight if v % 16 == s), key=lambda v: (-weight[v], v)):
+            total += weight[v]
+            if total <= mean:
+                home[v] = s
+                loads[s] += weight[v]
+            else:
+                movers.append(v)
+    for v in sorted(movers, key=lambda v: (-weight[v], v)):
+        home[v] = loads.index(min(loads))
+        loads[home[v]] += weight[v]
+    want, place = [], defaultdict(int)
+    for v in sorted(slots):
+        for (some, i), size, crc in sorted(slots[v]):
+            want.append((str(i if some else None), size, crc, home[v], place[home[v]], v))
+            place[home[v]] += 1
+    assert got == sorted(want) and max(loads) <= 1.05 * min(loads)
+    # the table of maps keeps all versions, and the next is an edit of the last
+    first, second = ({x.vslot: x.shard for x in sharding.read_map(spark, maps, k).collect()} for k in (1, 2))
+    assert first == {v: v % 16 for v in slots} and second == home
+    grown = sharding.read_map(spark, maps).select("vslot", (F.col("bytes") + F.when(F.col("vslot") < 2000, 500).otherwise(0)).alias("bytes"), "n")
+    third = {x.vslot: x.shard for x in sharding.rebalanced(spark, maps, grown).collect()}
+    assert third.keys() == second.keys() and third != second and {x.vslot: x.shard for x in sharding.read_map(spark, maps, 2).collect()} == second
+
+
 def test_token_files(spark, odd, empty, tmp_path):
     path = queries.tokenizer_path(queries.BYTE_BPE)
     out = str(tmp_path / "tokens")
@@ -479,6 +617,7 @@ def test_token_files(spark, odd, empty, tmp_path):
         with open(row.path, "rb") as f:
             reader = token_files.Reader(f)
             assert list(reader.documents([4])) in ([4], []) and sum(len(i) for _, i in reader) == row.ids
+            assert len(reader.frames) == len(reader.index) and [int(n) // 4 for n in reader.frames[:, 1]] == reader.index["ids"].tolist()
     first = manifest.orderBy("part").first()
     data = bytearray(open(first.path, "rb").read())
     data[6] ^= 0xFF
@@ -515,18 +654,79 @@ def test_grid_join(spark):
     assert grid_join.near_vectors(df.where("false")).count() == 0
 
 
-def test_audio(spark, odd, empty):
-    got = [r for r in audio.described(audio.stored(odd)).withColumn("feature", audio.feature_text(F.col("segments"))).collect()]
-    by = {r.doc_id: r for r in got}
-    assert len(got) == 10 and by[1].n_bytes == 0 and by[1].payload_bytes == 576 and by[4].feature == by[5].feature and by[4].media_sha256 == by[5].media_sha256
+def slow_features(payload: bytes):
+    """Features from their definitions: zero-stuffed convolution, one transform a frame, loops over frames and parts."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    up, down, taps = audio.UP, audio.DOWN, audio.TAPS
+    n = up * taps
+    t = np.arange(n) - (n - 1) / 2
+    h = np.sinc(t / max(up, down)) / max(up, down) * np.hanning(n + 2)[1:-1]
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    y = np.convolve(stuffed, h / h.sum() * up)[: len(stuffed)][::down]
+    y = np.concatenate([y, np.zeros(max(0, audio.WINDOW - len(y)))])
+    rate = audio.RATE * up / down
+    frames = [y[i : i + audio.WINDOW] for i in range(0, len(y) - audio.WINDOW + 1, audio.HOP)]
+    edges = 700 * (10 ** (np.linspace(2595 * np.log10(1 + 50 / 700), 2595 * np.log10(1 + rate / 2 / 700), audio.BANDS + 2) / 2595) - 1)
+    mel = []
+    for f in frames:
+        power = np.abs(np.fft.rfft(f * np.hanning(audio.WINDOW))) ** 2
+        at = np.arange(len(power)) * rate / audio.WINDOW
+        mel.append([np.log10(sum(p * max(0, min((q - lo) / (mid - lo), (hi - q) / (hi - mid))) for p, q in zip(power, at)) + 1e-6) for lo, mid, hi in zip(edges, edges[1:], edges[2:])])
+    energy = [10 * np.log10(np.mean(f**2) + 1e-9) for f in frames]
+    middle, spans, start = np.median(energy), [], None
+    for i, e in enumerate([*energy, -1e9]):
+        if start is None and e >= middle + audio.OPEN_DB:
+            start = i
+        elif start is not None and e < middle + audio.CLOSE_DB:
+            spans.append((start, i))
+            start = None
+    out = []
+    for a, b in spans or [(0, len(frames))]:
+        parts = []
+        for k in range(audio.PARTS):
+            lo, hi = a + k * (b - a) // audio.PARTS, a + (k + 1) * (b - a) // audio.PARTS
+            hi = min(max(hi, lo + 1), b)
+            parts.append(np.mean(mel[min(lo, hi - 1) : hi], axis=0))
+        out.append((a * audio.HOP * 1000 / rate, ((b - 1) * audio.HOP + audio.WINDOW) * 1000 / rate, np.array(parts)))
+    return out
+
+
+def test_audio(spark, odd, empty, tmp_path):
+    by = {r.doc_id: r for r in audio.round_trip(odd).collect()}
+    assert by[1].n_bytes == 0 and by[1].payload_bytes == 576 and by[4].feature == by[5].feature and by[4].media_sha256 == by[5].media_sha256
     for r in odd.collect():
         raw = (r.text or "").encode()
         p = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         x = by[r.doc_id]
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
-        assert x.media_bytes == len(p) + 44 and all(s.start_ms < s.end_ms for s in x.segments) and len(x.segments[0].mel) == audio.PARTS * audio.BANDS
-    assert audio.stored(empty).count() == 0
+        assert x.media_bytes == len(p) + 44 and x.n_segments >= 1
+    assert audio.round_trip(empty).count() == 0
     assert audio.from_wav(audio.to_wav(b"abc"))[0] == b"abc" and audio.features(b"") == []
+    none = spark.createDataFrame([(1, None, None)], "doc_id long, n_bytes long, media binary")
+    row = audio.read_features(spark, audio.write_features(none, f"file://{tmp_path}/none"), f"file://{tmp_path}/none").first()
+    assert row.feature is None and row.n_segments is None and row.payload_bytes is None
+
+
+def test_stored_tensors_equal_brute_force(spark, sf, tmp_path):
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 20 = 0")
+    base = f"file://{tmp_path}/tensors"
+    manifest = audio.write_features(audio.stored(d), base)
+    texts = {r.doc_id: (r.text or "").encode() for r in d.collect()}
+    seen = {}
+    for row in manifest.collect():
+        with open(row.path, "rb") as f:
+            for batch in audio.stored_rows(f):
+                assert batch.schema.field("segments").type.value_type.field("mel").type == audio.TENSOR
+                seen |= dict(zip(batch.column("doc_id").to_pylist(), zip(audio.tensors_of(batch), batch.column("payload_sha256").to_pylist())))
+    assert seen.keys() == texts.keys()
+    for i, ((start, end, mel), digest) in seen.items():
+        payload = audio.padded(texts[i])
+        want = slow_features(payload)
+        assert digest == hashlib.sha256(payload).hexdigest() and len(start) == len(want)
+        assert np.allclose(start, [w[0] for w in want]) and np.allclose(end, [w[1] for w in want]) and np.allclose(mel, np.stack([w[2] for w in want]), atol=2e-3)
+    got = {r.doc_id: r.feature for r in audio.read_features(spark, manifest, base).collect()}
+    assert got == {i: audio.feature_text(*t) for i, (t, _) in seen.items()}
 
 
 def test_resampling_and_segments():
@@ -543,10 +743,3 @@ def test_resampling_and_segments():
     bank = audio.mel_bank(audio.RATE * up / down)
     assert mel.mean(0).argmax() == bank[round(1000 / (audio.RATE * up / down) * audio.WINDOW)].argmax()
     assert audio.energetic(np.array([0, 5, 3, 3, 0, 3, 5.0]), 4, 2) == [(1, 4), (6, 7)]
-
-
-def test_tensors():
-    import pyarrow as pa
-
-    a = audio.as_tensors(pa.array([[float(i)] * (audio.PARTS * audio.BANDS) for i in range(3)], pa.list_(pa.float32())))
-    assert a.to_numpy_ndarray().shape == (3, audio.PARTS, audio.BANDS)
