@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The folder that holds the package; Python workers look for it there too.
@@ -51,31 +51,40 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), ROOT)))
 
 
+#: Edges of one task of a round of ``components``.
+EDGES_PER_TASK = 50_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list, as ``(node, component)`` with the component's least node.
 
     Alternating large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and Beyond",
-    2014). Each round is joins and map-side combined minima, so a node with very many links never meets in one
-    group, and its result is a written table. Only two numbers a round reach the driver. Nodes without a link are
-    not returned; null ends and self-links are ignored; repeated links count once.
+    2014). Each round is joins and map-side combined minima, and its result is a written table; the joins of edges with
+    minima have one row a node on one side, so a node with very many links is split where the planner splits skewed
+    partitions. Only two numbers a round reach the driver, taken while its edges are written, and few edges are left to
+    few tasks. Nodes without a link are not returned; null ends and self-links are ignored; repeated links count once.
     """
     spark = edges.sparkSession
     x, y = F.col(a), F.col(b)
     e = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
-    e, path = written(e, "edges")
-    mark = None
+    mark, path = None, None
     while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        old = path
+        e, path = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        if old:
+            drop_path(spark, old)
+        now = seen.get["n"], seen.get["h"]
         if now == mark or now[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         mark = now
-        both = e.union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
+        tasks = -(-now[0] // EDGES_PER_TASK)
+        e = e.coalesce(tasks)
+        both = e.union(e.select(F.col("v"), F.col("u")).toDF("u", "v")).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v")).distinct()
-        old = path
-        e, path = written(small, "edges")
-        drop_path(spark, old)
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v")).coalesce(tasks)
+        e = small.distinct().coalesce(tasks)

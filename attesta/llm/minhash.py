@@ -13,6 +13,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from .common import bound_batches, components, drop_path, written
 
 SHINGLE, SKETCHES, PICKS, SIMILARITY = 5, 72, 2, 0.8
 POSITION_BITS = 24
-#: A bucket with more members is crowded. Bins of the word counts that bound a distance from below, and bits of the table of how common word pairs are.
-CROWD, BINS, RARITY_BITS = 1000, 128, 20
+#: A bucket with more members is crowded. Texts and words of one block of crowded texts, and bins of the word counts that bound a distance from below.
+CROWD, BLOCK_ROWS, BLOCK_WORDS, BINS = 128, 2048, 1 << 20, 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -176,7 +177,7 @@ def buckets_of(sk: DataFrame) -> DataFrame:
     """
     rows = sk.where("sk is not null").select(F.xxhash64("node").alias("h"), F.posexplode("sk").alias("i", "s")).select("h", F.xxhash64("i", "s").alias("k"))
     heads = rows.groupBy("k").agg(F.min("h").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(heads, "k")
+    return rows.join(heads.hint("shuffle_merge"), "k")  # as many as there are buckets: not to be broadcast
 
 
 class _Words:
@@ -205,15 +206,12 @@ def _profiler(batches):
 
 
 def _near_in_groups(similarity: float):
-    """Pairs of rows of one ``key``, of different components, that length and word counts don't keep apart.
-
-    Rows come sorted by key, and a key has few rows (``CROWD``, or twice that). Rows of one ``side`` are not compared with each other, unless it is 0.
-    """
+    """Pairs of rows of one ``key``, of different components, that length and word counts don't keep apart. Rows come sorted by key; a key has few."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(key, h, comp, side, size, bins):
+    def pairs(key, h, comp, size, bins):
         n = len(key)
-        end = np.searchsorted(key, key, "right") if n else key
+        end = np.searchsorted(key, key, "right")
         i, step = np.arange(n), 1
         while True:
             i = i[i + step < end[i]]
@@ -221,17 +219,10 @@ def _near_in_groups(similarity: float):
                 return
             for part in range(0, len(i), 20_000):
                 x = i[part : part + 20_000]
-                y = x + step
-                most = np.floor(np.maximum(size[x], size[y]) * (1 - similarity) + 1e-9)
-                fit = (comp[x] != comp[y]) & (np.abs(size[x] - size[y]) <= most) & ((side[x] == 0) | (side[x] != side[y]))
-                x, y, most = x[fit], y[fit], most[fit]
+                x = x[comp[x] != comp[x + step]]
+                x, y = _within(x, x + step, size, size, bins, bins, similarity)
                 if len(x):
-                    # each edit changes one count by one up or down at most, or one up and one down
-                    apart = (np.maximum(bins[x], bins[y]) - np.minimum(bins[x], bins[y])).sum(1, dtype=np.int64)
-                    fit = (apart + np.abs(size[x] - size[y])) // 2 <= most
-                    x, y = h[x[fit]], h[y[fit]]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(h[x], h[y])), pa.array(np.maximum(h[x], h[y]))], schema=schema)
             step += 1
 
     def run(batches):
@@ -240,7 +231,7 @@ def _near_in_groups(similarity: float):
             if not len(batch):
                 continue
             raw = b"".join(batch.column("bins").to_pylist())
-            new = [batch.column(c).to_numpy() for c in ("key", "h", "component", "side", "size")] + [np.frombuffer(raw, np.uint8).reshape(-1, BINS)]
+            new = [batch.column(c).to_numpy() for c in ("key", "h", "component", "size")] + [np.frombuffer(raw, np.uint8).reshape(-1, BINS)]
             rows = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last key may go on
             if cut:
@@ -252,86 +243,147 @@ def _near_in_groups(similarity: float):
     return run
 
 
-def _grouped_pairs(rows: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of ``_near_in_groups`` for rows ``(key, side, h, component)``."""
-    both = rows.join(profiles, "h").select("key", "h", "component", "side", "size", "bins")
-    return both.repartition("key").sortWithinPartitions("key").mapInArrow(_near_in_groups(similarity), "a long, b long").distinct()
+def _within(x, y, sizes, sizes2, bins, bins2, similarity: float):
+    """Those places ``x, y`` whose sizes and bins leave the similarity open."""
+    most = np.floor(np.maximum(sizes[x], sizes2[y]) * (1 - similarity) + 1e-9)
+    fit = np.abs(sizes[x] - sizes2[y]) <= most
+    x, y, most = x[fit], y[fit], most[fit]
+    # each edit changes one count by one up or down at most, or one up and one down
+    apart = (np.maximum(bins[x], bins2[y]) - np.minimum(bins[x], bins2[y])).sum(1, dtype=np.int64)
+    fit = (apart + np.abs(sizes[x] - sizes2[y])) // 2 <= most
+    return x[fit], y[fit]
 
 
-def _word_pairs(similarity: float, rarity: np.ndarray | None):
-    """Occurrence-labelled pairs of neighbouring words: without ``rarity`` their counts in its bins, with it the rarest of each text.
+def _block_maker(batches):
+    """Packs rows ``(crowd, size, node, component, text)`` in their order into blocks of one crowd each."""
+    schema = pa.schema([("crowd", pa.int64()), ("block", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("data", pa.binary())])
+    inner = pa.schema([("node", pa.binary()), ("component", pa.int64()), ("words", pa.list_(pa.uint64()))])
+    words, held, total, count = _Words(), [], 0, 0
+    part = TaskContext.get().partitionId()
 
-    A text at an edit similarity of s to another shares all but 2 (1 - s) of its pairs with it, so the two have one of
-    the rarest 2 (1 - s), and one more, in common, whatever the order that rarity is measured in.
-    """
-    bits = np.uint64(RARITY_BITS)
-    counts = pa.schema([("bin", pa.int64()), ("n", pa.int64())])
-    rarest = pa.schema([("h", pa.int64()), ("token", pa.int64())])
+    def packed():
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, inner, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*held))[1:], inner)], schema=inner))
+        sizes = [len(r[3]) for r in held]
+        return pa.RecordBatch.from_pydict({"crowd": [held[0][0]], "block": [(part << 32) + count], "low": [min(sizes)], "high": [max(sizes)], "data": [out.getvalue().to_pybytes()]}, schema=schema)
+
+    for batch in batches:
+        words.seen.clear()
+        for crowd, node, comp, text in zip(*(batch.column(c).to_pylist() for c in ("crowd", "node", "component", "text"))):
+            w = words(node, text)[0]
+            if held and (held[0][0] != crowd or len(held) == BLOCK_ROWS or total + len(w) > BLOCK_WORDS):
+                yield packed()
+                held, total, count = [], 0, count + 1
+            held.append((crowd, node, comp, w))
+            total += len(w)
+    if held:
+        yield packed()
+
+
+def _block_linker(similarity: float):
+    """Links between texts of two blocks, or of one, that align: enough of them to connect all that do."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def opened(data):
+        t = pa.ipc.open_stream(data).read_all().combine_chunks()
+        lists = t.column("words").chunk(0)
+        cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sizes = np.diff(cuts)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        bins = np.bincount(owner * BINS + (flat % np.uint64(BINS)).astype(np.int64), minlength=len(sizes) * BINS).reshape(-1, BINS)
+        return t.column("node").to_pylist(), t.column("component").to_numpy(), [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])], sizes, np.minimum(bins, 255).astype(np.uint8), {}
+
+    def bag(side, i):
+        if i not in side[5]:
+            side[5][i] = _bag(side[2][i])
+        return side[5][i]
 
     def run(batches):
-        words = _Words()
         for batch in batches:
-            words.seen.clear()
-            tokens = []
-            for r, t in enumerate(batch.column("text").to_pylist()):
-                w, _ = words(r, t)
-                ends = np.concatenate([w, np.zeros(1, np.uint64)])
-                t = _mix(ends[:-1] * _ODD[0] + ends[1:] * _ODD[1])
-                tokens.append(_mix(t + _occurrences(t, np.zeros(len(t), np.int64)) * _ODD[2]))
-            if rarity is None:
-                found, n = np.unique(np.concatenate(tokens) >> (np.uint64(64) - bits), return_counts=True) if tokens else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.int64)), pa.array(np.array(n, np.int64))], schema=counts)
-                continue
-            owner, out = [], []
-            for h, t in zip(batch.column("h").to_pylist(), tokens):
-                lost = int(len(t) * 2 * (1 - similarity) + 1e-9)
-                first = t[np.lexsort((t, rarity[t >> (np.uint64(64) - bits)]))[: lost + 1]]
-                out.append(first.view(np.int64))
-                owner.append(np.full(len(first), h, np.int64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(np.concatenate(out))], schema=rarest)
+            for row in batch.to_pylist():
+                left = opened(row["data"])
+                same = row["a"] == row["b"]
+                right = left if same else opened(row["data2"])
+                # texts of one label hang together already
+                labels = np.unique(np.concatenate([left[1], right[1]]), return_inverse=True)[1]
+                mine, theirs = labels[: len(left[1])], labels[len(left[1]) :]
+                found, wait = [], []
+
+                def settle():
+                    ask = [(i, j) for i, j in wait if mine[i] != theirs[j]]
+                    wait.clear()
+                    distances = word_distances([(left[2][i], right[2][j]) for i, j in ask], similarity, [(bag(left, i), bag(right, j)) for i, j in ask])
+                    for (i, j), d in zip(ask, distances):
+                        if d is not None and mine[i] != theirs[j]:
+                            found.append((left[0][i], right[0][j]))
+                            labels[labels == theirs[j]] = mine[i]
+
+                for i in range(len(mine)):
+                    j = np.arange(i + 1 if same else 0, len(theirs))
+                    j = j[theirs[j] != mine[i]]
+                    x, y = _within(np.full(len(j), i), j, left[3], right[3], left[4], right[4], similarity)
+                    wait += zip(x.tolist(), y.tolist())
+                    if len(wait) >= 1000:
+                        settle()
+                settle()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], schema=schema)
 
     return run
 
 
-def rest_pairs(buckets: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of texts in different components that share a bucket, or lie in crowded ones, as far as they can reach ``similarity``.
+def crowd_links(crowded: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(a, b)`` of nodes that join components, between texts of crowded buckets ``(h, a)``, a naming the bucket by its least text, that hang together.
 
-    Only buckets with members of several components ``comp (h, component)`` are open. Up to ``crowd`` members, every pair
-    is held against the bounds that lengths and counts of words set, so a text meets at most that many others a sketch.
-    The texts of larger open buckets, such as those around a passage that very many share, are grouped by their rarest word
-    pairs instead: any two that align at ``similarity`` have one in common. How common a word pair is comes from a table of
-    2^RARITY_BITS counts over these texts, whatever their number. Groups that are crowded themselves are cut into tiles.
+    Buckets that share texts are one crowd, as those are that a passage makes which very many texts share. The texts of a
+    crowd are sorted by length and packed into blocks; blocks whose lengths leave the similarity open are compared in
+    one task each, so a text travels once a block pair, not once a pair of texts. Only links come out. The work is the
+    square of a crowd's different texts, most of it comparisons of a few dozen bytes.
+    """
+    # a text goes by the least bucket it is in; buckets that share a text hang together: few edges between few names
+    names, names_path = written(crowded.groupBy("h").agg(F.min("a").alias("name"), F.collect_set("a").alias("names")), "crowd-names")
+    hang = components(names.select("name", F.explode("names").alias("other")).where("name != other").distinct(), "name", "other")
+    crowds = names.join(hang, names["name"] == hang["node"], "left").select("h", F.coalesce("component", "name").alias("crowd"))
+    rows = texts.join(crowds, "h").join(comp, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    # few tasks pack few texts, so that blocks are full however many partitions there are
+    tasks = max(1, -(-names.count() // BLOCK_ROWS))
+    rows = rows.withColumn("size", F.length("text")).repartitionByRange("crowd", "size", "node").sortWithinPartitions("crowd", "size", "node").coalesce(tasks)
+    blocks, path = written(rows.select("crowd", "node", "component", "text").mapInArrow(_block_maker, "crowd long, block long, low long, high long, data binary"), "crowds")
+    a = blocks.select("crowd", F.col("block").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
+    b = blocks.select("crowd", F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    near = a.join(b, "crowd").where("a <= b").where((F.col("low_b") * similarity <= F.col("high_a") + 1) & (F.col("low_a") * similarity <= F.col("high_b") + 1)).select("a", "b")
+    left, right = blocks.select(F.col("block").alias("a"), "data"), blocks.select(F.col("block").alias("b"), F.col("data").alias("data2"))
+    pairs = near.join(left, "a").join(right, "b")
+    links, _ = written(pairs.repartition(F.col("a"), F.col("b")).mapInArrow(_block_linker(similarity), "a binary, b binary"), "links")
+    drop_path(blocks.sparkSession, path)
+    drop_path(blocks.sparkSession, names_path)
+    return links
+
+
+def rest_links(buckets: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """Links ``(a, b)`` of nodes, enough to join all components ``comp (h, component)`` that alike texts of one bucket lie in.
+
+    Only buckets with members of several components are open. Up to ``crowd`` members, every pair is held against the
+    bounds that lengths and counts of words set, so a text meets at most that many others a sketch, and what may be alike
+    is aligned. The texts of larger open buckets go to ``crowd_links``. No pair is left out.
     """
     spark = buckets.sparkSession
     rows = buckets.where("n > 2").join(comp, "h", "left").withColumn("component", F.coalesce("component", "h"))
     mixed = rows.groupBy("k").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("k")
-    rows, rows_path = written(rows.join(mixed, "k").select("k", "n", "h", "component"), "open")
-    mine = texts.join(rows.select("h").distinct(), "h", "left_semi")
-    profiles, profiles_path = written(mine.select("h", "text").mapInArrow(_profiler, "h long, size long, bins binary"), "profiles")
-    few = rows.where(F.col("n") <= crowd).select(F.col("k").alias("key"), F.lit(0).alias("side"), "h", "component")
-    pairs = _grouped_pairs(few, profiles, similarity)
-    many = rows.where(F.col("n") > crowd).select("h", "component").distinct()
+    rows, rows_path = written(rows.join(mixed, "k").select("k", "a", "n", "h", "component"), "open")
+    few = rows.where(F.col("n") <= crowd)
+    profiles = texts.join(few.select("h").distinct(), "h", "left_semi").select("h", "text").mapInArrow(_profiler, "h long, size long, bins binary")
+    both = few.join(profiles, "h").select(F.col("k").alias("key"), "h", "component", "size", "bins")
+    pairs, pairs_path = written(both.repartition("key").sortWithinPartitions("key").mapInArrow(_near_in_groups(similarity), "a long, b long").distinct(), "rest")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    links, _ = written(verified_pairs(pairs, texts.join(asked, "h", "left_semi"), similarity).select("a", "b"), "links")
+    many = rows.where(F.col("n") > crowd).select("h", "a")
     if many.limit(1).count():
-        crowded = texts.join(many.select("h").distinct(), "h", "left_semi").select("h", "text")
-        counts = crowded.mapInArrow(_word_pairs(similarity, None), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # 2^RARITY_BITS rows at most
-        rarity = np.zeros(1 << RARITY_BITS, np.int64)
-        rarity[counts.column("bin").to_numpy()] = counts.column("n").to_numpy()
-        tokens = crowded.mapInArrow(_word_pairs(similarity, rarity), "h long, token long").join(many, "h")
-        tokens, tokens_path = written(tokens, "word-pairs")
-        sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-        blocks = F.ceil(F.col("n") / crowd).cast("int")
-        tiles = tokens.join(sizes.select("token", "n"), "token").withColumn("block", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        low, high = F.least("block", "other"), F.greatest("block", "other")
-        tiles = tiles.select(F.xxhash64("token", low, high).alias("key"), F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2).alias("side"), "h", "component")
-        pairs = pairs.union(_grouped_pairs(tiles, profiles, similarity)).distinct()
-        pairs, _ = written(pairs, "rest")
-        drop_path(spark, tokens_path)
-    else:
-        pairs, _ = written(pairs, "rest")
+        links = links.union(crowd_links(many, comp, texts, similarity))
     drop_path(spark, rows_path)
-    drop_path(spark, profiles_path)
-    return pairs
+    drop_path(spark, pairs_path)
+    return links
 
 
 def _band(pairs: list[tuple[np.ndarray, np.ndarray]], w: int) -> np.ndarray:
@@ -470,9 +522,9 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMIL
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: ``doc_id, class_id, kept``.
 
-    Equal texts are one class. Different texts are linked where they share an Order MinHash sketch, or both lie in crowded
-    buckets, and their words, in lower case, have an edit similarity of ``similarity`` or more; classes are the components
-    of the links. class_id is the least doc_id of the class and kept marks its rows (all of them, where a doc_id is repeated).
+    Equal texts are one class. Different texts are linked where they share an Order MinHash sketch (those of a crowd may
+    also do without) and their words, in lower case, have an edit similarity of ``similarity`` or more; classes are the
+    components of the links. class_id is the least doc_id of the class and kept marks its rows (all of them, where a doc_id is repeated).
     A null text is a class of its own (class_id = doc_id, kept); texts without words are in one class only with
     equal texts. Other columns of ``docs`` are not read. An empty table gives an empty result.
     """
@@ -489,16 +541,16 @@ def classed(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     one = rows.where("node is not null").groupBy(text_of(F.col("node")).alias("vid")).agg(F.min("node").alias("node"), F.first("sk").alias("sk"))
     buckets, buckets_path = written(buckets_of(one), "buckets")
     named = docs.withColumn("node", node_id(F.col("doc_id"), F.col("text"))).withColumn("h", F.xxhash64("node"))
-    texts = named.join(buckets.select("h").distinct(), "h", "left_semi").select("h", "node", "text").dropDuplicates(["h", "node"])
+    # a set that grows with the documents isn't broadcast; rows of one h are in one place, so repeated ones go without another shuffle
+    texts = named.join(buckets.select("h").distinct().hint("shuffle_merge"), "h", "left_semi").select("h", "node", "text").dropDuplicates(["h", "node"])
     texts, texts_path = written(texts, "texts")
     first = buckets.where("a < h").select("a", F.col("h").alias("b")).distinct()
     links, links_path = written(verified_pairs(first, texts, similarity), "links")
     comp = components(links)
     # any number will do for a component here, as long as equal components have equal ones
-    rest = rest_pairs(buckets, comp.select(F.xxhash64("node").alias("h"), F.xxhash64("component").alias("component")).distinct(), texts, similarity, crowd)
-    more, _ = written(verified_pairs(rest, texts, similarity), "links")
+    more = rest_links(buckets, comp.select(F.xxhash64("node").alias("h"), F.xxhash64("component").alias("component")).distinct(), texts, similarity, crowd)
     if more.limit(1).count():
-        comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more.select("a", "b")))
+        comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
     heads = rows.where("node is not null").groupBy(text_of(F.col("node")).alias("vid")).agg(F.min("node").alias("head"))
     classes = heads.join(comp, heads["head"] == comp["node"], "left").select("vid", F.coalesce("component", "head").alias("component"))
     out = rows.select("doc_id", "node", text_of(F.col("node")).alias("vid")).join(classes, "vid", "left")
