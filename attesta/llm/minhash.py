@@ -23,6 +23,8 @@ SHINGLE, SKETCHES, PICKS, SIMILARITY = 5, 72, 2, 0.8
 POSITION_BITS = 24
 #: A bucket with more members is crowded. Texts and words of one block of crowded texts, and bins of the word counts that bound a distance from below.
 CROWD, BLOCK_ROWS, BLOCK_WORDS, BINS = 128, 2048, 1 << 20, 128
+#: Pairs of texts that a task aligns at a time.
+PAIRS = 500
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -33,7 +35,7 @@ def words_of(text: str | None) -> list[str]:
 
 class _WordHash(dict):
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -490,7 +492,8 @@ def _verifier(similarity: float):
 
     def run(batches):
         words = _Words()
-        for batch in batches:
+        # arrays of words take more room than texts, so a few megabytes of them are held at a time
+        for batch in (b.slice(i, PAIRS) for b in batches for i in range(0, len(b), PAIRS)):
             words.seen.clear()
             names, others = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             left = [words(v, t) for v, t in zip(names, batch.column("ta").to_pylist())]
