@@ -78,6 +78,16 @@ def extractive_answer(question: Column, texts: Column) -> Column:
     return F.when((F.size(texts) > 0) & (best >= 0.5), F.concat(body, F.lit(" ["), at.cast("string"), F.lit("]"))).otherwise(T.REFUSAL)
 
 
+def prompted(respond: Callable[[Column, Column], Column] = extractive_answer) -> Callable[[Column], Column]:
+    """``respond(question, texts)`` as a function of an answer's prompt, from which question and excerpts are read back."""
+
+    def of_prompt(prompt: Column) -> Column:
+        texts = F.regexp_extract_all(prompt, F.lit(r"(?s)(?<=\n\n)\[\d+\]\n(.*?)(?=\n\n\[\d+\]\n|\n\nQuestion: )"), F.lit(1))
+        return respond(F.regexp_extract(prompt, r"(?s)\n\nQuestion: (.*?)\n\nCite the excerpt", 1), texts)
+
+    return of_prompt
+
+
 class DigestMismatch(ValueError):
     """A model is not the one that was pinned."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .facts import documents, nct_id
-from .relational import distinct_on, largest_remainder
+from .relational import distinct_on, first_n, largest_remainder
 
 TARGET, PER_SPONSOR = 200, 3
 # The candidate query.
@@ -34,8 +34,8 @@ def select_cohort(pool: DataFrame, target: int = TARGET, per_sponsor: int = PER_
     """At most ``target`` candidates, by stratum quota, at most ``per_sponsor`` of one sponsor.
 
     Repeated ids: the first by ``position`` (or by all columns). Quotas are largest remainders over (class, phase). The cap
-    is spent in order of stratum and id, and places left go to the rest by id: a sequential rule, so the
-    candidates, slim rows of a registry query, are one group here. Raises on an empty pool.
+    is spent in order of stratum and id, and places left go to the rest by id: a sequential rule over one group. Of
+    a stratum and sponsor only the first ``per_sponsor`` ids can be chosen, so no more go into that group. Raises on an empty pool.
     """
     rows = distinct_on(pool, ["nct_id"], [position] if position else [c for c in pool.columns if c != "nct_id"])
     quota = largest_remainder(rows, ["sponsor_class", "phase"], target).select("sponsor_class", "phase", "quota")
@@ -65,7 +65,8 @@ def select_cohort(pool: DataFrame, target: int = TARGET, per_sponsor: int = PER_
 
     if pool.isEmpty():
         raise ValueError("there are no candidates to select from")
-    return rows.join(quota, ["sponsor_class", "phase"]).groupBy(F.lit(1).alias("all")).applyInPandas(pick, schema).orderBy("nct_id")
+    able = first_n(rows, ["sponsor_class", "phase", "sponsor_name"], ["nct_id"], per_sponsor)
+    return able.join(quota, ["sponsor_class", "phase"]).groupBy(F.lit(1).alias("all")).applyInPandas(pick, schema).orderBy("nct_id")
 
 
 def stratification(cohort: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .relational import islands, mark_superseded, mode_first, nearest_below, priority_union, propagate_last, range_join_first, sections_from_markers
 
-BAND, BAND_CHARS, LOW_COVERAGE = 0.12, 150, 0.5
+BAND, BAND_CHARS, LOW_COVERAGE, HEADING_RATIO = 0.12, 150, 0.5, 1.15
 
 
 def classify_documents(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,35 +52,39 @@ def body_font_sizes(blocks: DataFrame) -> DataFrame:
 
 def heading_candidate(text: Column, font_size: Column, bold: Column, body: Column) -> Column:
     t = F.trim(text)
-    return F.length(t).between(3, 100) & (T.token_count(t) <= 12) & (bold | ((body > 0) & (font_size > 1.15 * body)))
+    return F.length(t).between(3, 100) & (T.token_count(t) <= 12) & (bold | ((body > 0) & (font_size > HEADING_RATIO * body)))
 
 
 def numbered_prefix(text: Column) -> Column:
-    """Heading after a leading number such as ``5.1``, null without one."""
-    return F.nullif(F.regexp_extract(text, r"^\s*\d+(?:\.\d+)*\.?\s+([A-Z][A-Za-z /&-]{2,80})", 1), F.lit(""))
+    """A leading number such as ``5.1`` and the heading after it, null without one."""
+    # Fixed value: the pattern of a numbered heading.
+    return F.nullif(F.trim(F.regexp_extract(F.trim(text), r"^\s*\d{1,2}(?:\.\d{1,2})*\.?\s+([A-Za-z][A-Za-z /\-]{2,60})", 0)), F.lit(""))
 
 
 def sections(blocks: DataFrame, bookmarks: DataFrame | None = None) -> DataFrame:
     """``doc, section_pos, label, heading, method, range_start, range_end`` of ``blocks (doc, page, pos, text, font_size, bold)``.
 
     Level-1 ``bookmarks (doc, pos, level, title, page)`` (pages from 1) make the sections; documents without any take headings found in the
-    text, and documents without those are one unclassified section. Headings outside the taxonomy are sections too.
+    text, and documents without those are one unclassified section. Short blocks in bold or large type are headings, and so is a number with words
+    of the taxonomy at the start of a long one. Headings outside the taxonomy are unclassified sections. ``method`` is bookmark, regex or unmatched.
     """
     total = blocks.groupBy("doc").agg((F.max("page") + 1).alias("total"))
     b = blocks.join(body_font_sizes(blocks), "doc")
-    head = heading_candidate(F.col("text"), F.col("font_size"), F.col("bold"), F.col("body"))
+    styled = (F.col("body") > 0) & (F.col("bold") | (F.col("font_size") > HEADING_RATIO * F.col("body")))
+    head = styled & heading_candidate(F.col("text"), F.col("font_size"), F.col("bold"), F.col("body"))
     prefix = numbered_prefix(F.col("text"))
     label = F.when(head, T.section_label(F.col("text"))).otherwise(T.section_label(prefix))
-    scan = b.withColumn("label", label).where("label is not null").select("doc", F.col("page").alias("start"), F.col("pos").cast("long").alias("pos"), "label", F.trim("text").alias("heading"), F.lit("regex").alias("method"))
+    found = b.withColumn("label", label).withColumn("heading", F.when(head, F.trim("text")).otherwise(prefix)).where(head | (styled & F.col("label").isNotNull()))
+    scan = found.select("doc", F.col("page").alias("start"), F.col("pos").cast("long").alias("pos"), "label", "heading", F.lit("regex").alias("method"))
     markers = scan
     if bookmarks is not None:
-        toc = bookmarks.where("level = 1").select("doc", F.greatest(F.col("page") - 1, F.lit(0)).alias("start"), F.col("pos").cast("long").alias("pos"), T.section_label(F.col("title")).alias("label"), F.col("title").alias("heading"), F.lit("toc").alias("method"))
+        toc = bookmarks.where("level = 1").select("doc", F.greatest(F.col("page") - 1, F.lit(0)).alias("start"), F.col("pos").cast("long").alias("pos"), T.section_label(F.col("title")).alias("label"), F.col("title").alias("heading"), F.lit("bookmark").alias("method"))
         markers = priority_union(toc, scan, ["doc"])
     ranges = sections_from_markers(markers.join(total, "doc"), ["doc"], "start", ["start", "pos"], "total")
-    whole = total.join(markers.select("doc").distinct(), "doc", "left_anti").select("doc", F.lit(0).alias("range_start"), (F.col("total") - 1).alias("range_end"), F.lit("none").alias("method"))
+    whole = total.join(markers.select("doc").distinct(), "doc", "left_anti").select("doc", F.lit(0).alias("range_start"), (F.col("total") - 1).alias("range_end"), F.lit("unmatched").alias("method"))
     out = ranges.unionByName(whole, allowMissingColumns=True)
     order = Window.partitionBy("doc").orderBy("range_start", F.col("pos").asc_nulls_first())
-    return out.select("doc", (F.row_number().over(order) - 1).alias("section_pos"), F.coalesce("label", F.lit(T.UNCLASSIFIED)).alias("label"), "heading", F.coalesce("method", F.lit("gap")).alias("method"), "range_start", "range_end")
+    return out.select("doc", (F.row_number().over(order) - 1).alias("section_pos"), F.coalesce("label", F.lit(T.UNCLASSIFIED)).alias("label"), "heading", F.coalesce("method", F.lit("unmatched")).alias("method"), "range_start", "range_end")
 
 
 def detection(sections_: DataFrame) -> DataFrame:
@@ -144,8 +148,9 @@ def source_sections(tables: DataFrame, sections_: DataFrame) -> DataFrame:
 
 
 def page_markers(blocks: DataFrame) -> DataFrame:
-    """``doc, page, marker``: the version marker in the short blocks of each page's top and bottom band."""
-    short = (F.length("text") <= BAND_CHARS) & ((F.col("bottom") <= BAND * F.col("page_height")) | (F.col("top") >= (1 - BAND) * F.col("page_height")))
+    """``doc, page, marker``: the version marker in the short blocks whose top edge lies in each page's top or bottom band."""
+    margin = BAND * F.col("page_height")
+    short = (F.length("text") <= BAND_CHARS) & (F.col("page_height") > 0) & ((F.col("top") < margin) | (F.col("top") > F.col("page_height") - margin))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(short, F.struct("pos", "text")))), lambda x: x["text"]), " ")
     return blocks.groupBy("doc", "page").agg(T.version_marker(text).alias("marker"))
 

@@ -11,30 +11,62 @@ from ..functions import text as T
 from .facts import outcome_amendments
 from .relational import priority_union, seeded_order
 
-# Readable phases, question texts.
-PHASES = {"EARLY_PHASE1": "Early Phase 1", "PHASE1": "Phase 1", "PHASE2": "Phase 2", "PHASE3": "Phase 3", "PHASE4": "Phase 4"}
+# Readable phases, question texts and ids, answers.
+PHASES = {"EARLY_PHASE1": "Early Phase 1", "PHASE1": "Phase 1", "PHASE2": "Phase 2", "PHASE3": "Phase 3", "PHASE4": "Phase 4", "NA": "N/A"}
 FUZZY, FUZZY_CHARS, MOST_GOLD = 85, 6, 30
+T1_TEXTS = {
+    "enrollment_count": "What is the target enrollment for {}?",
+    "phase": "What phase is the {} trial?",
+    "sponsor": "Who is the sponsor of {}?",
+    "min_age": "What is the minimum age for participants in {}?",
+    "max_age": "What is the maximum age for participants in {}?",
+    "primary_outcome_measure": "What is primary outcome # for {}?",
+    "primary_outcome_timeframe": "What is the timeframe for primary outcome # of {}?",
+    "arm_label": "What is the label of arm # in {}?",
+}
 T3_TEXTS = {
-    "first_posted_vs_current": "Does the current registered primary outcome of {} differ from the one first posted?",
-    "current_vs_protocol": "Does the current registered primary outcome of {} differ from the one in the protocol document?",
-    "registry_vs_results": "Does the registered primary outcome of {} differ from the one in the posted results?",
+    "current_vs_protocol": "Does the protocol's stated primary endpoint for {} match the current registry record?",
+    "first_posted_vs_current": "Does the current registry record for {} match what was first posted?",
+    "registry_vs_results": "Do the reported results for {} match the registered primary outcome?",
+}
+T4_TEXTS = {
+    "changed_when_what": "Was the primary outcome changed after first posting for {}? When, and to what?",
+    "revision_count": "How many revisions touched the primary outcome for {}?",
+    "first_registered": "What was the primary outcome as first registered for {}?",
 }
+T4_NEVER = "No, the primary outcome was not changed after first posting."
 ADVERSARIAL_TEXTS = {
-    "no_sap": ("What does the statistical analysis plan of {} say about interim analyses?", "Which sample size does the statistical analysis plan of {} justify?"),
-    "out_of_scope": ("What was the share price of the sponsor of {} at its start?", "Who was the first patient enrolled in {}?"),
+    "unposted_document": (
+        "What does the statistical analysis plan specify for handling missing data in {}?",
+        "What multiplicity adjustment method does the statistical analysis plan use for {}?",
+        "According to the statistical analysis plan for {}, what is the primary analysis population (ITT, per-protocol, or other)?",
+        "What sensitivity analyses does the statistical analysis plan specify for {}?",
+        "What is the pre-specified Type I error allocation across endpoints in the statistical analysis plan for {}?",
+    ),
+    "fact_not_in_corpus": (
+        "What is the manufacturing lot number of the study drug used in {}?",
+        "What brand of laptop computer did site staff use to enter data for {}?",
+        "What is the personal cell phone number of the principal investigator for {}?",
+        "What is the color of the packaging box used to ship the study drug for {}?",
+        "How many parking spaces are available at the primary study site for {}?",
+        "What is the home address of the study's biostatistician for {}?",
+        "What software version of Microsoft Excel was used to create the case report forms for {}?",
+        "What was the weather like on the day the first patient was enrolled in {}?",
+    ),
 }
 
 
-def _filled(template: str, value: Column) -> Column:
-    before, after = template.split("{}")
-    return F.concat(F.lit(before), value, F.lit(after))
+def _filled(template: str, value: Column, number: Column | None = None) -> Column:
+    """The template with ``value`` in place of ``{}`` and ``number`` in place of ``#``."""
+    text = F.replace(F.lit(template), F.lit("{}"), value)
+    return text if number is None else F.replace(text, F.lit("#"), number.cast("string"))
 
 
 def _numbered(rows: DataFrame, tier: str) -> DataFrame:
-    """Question ids count the answers that are not empty, from 0, per trial and template; texts keep the number the source had."""
+    """Question ids ``trial:template:n`` count the answers that are not empty, from 0, per trial and template; texts keep the number the source had."""
     kept = rows.where(F.trim(F.coalesce("gold_answer", F.lit(""))) != "")
     n = F.row_number().over(Window.partitionBy("nct_id", "template").orderBy("pos")) - 1
-    return kept.select(F.concat_ws("-", F.lit(tier), "nct_id", "template", n.cast("string")).alias("question_id"), F.lit(tier).alias("tier"), "nct_id", "template", "question_text", "gold_answer")
+    return kept.select(F.concat_ws(":", "nct_id", "template", n.cast("string")).alias("question_id"), F.lit(tier).alias("tier"), "nct_id", "template", "question_text", "gold_answer")
 
 
 def t1_questions(trials: DataFrame, outcomes: DataFrame, arms: DataFrame, eligibility: DataFrame) -> DataFrame:
@@ -46,17 +78,13 @@ def t1_questions(trials: DataFrame, outcomes: DataFrame, arms: DataFrame, eligib
     id_ = F.col("nct_id")
     primary = outcomes.where("source = 'registered_current' AND type = 'PRIMARY'").withColumn("pos", F.row_number().over(Window.partitionBy("nct_id").orderBy("outcome_id"))).where("pos <= 2")
     arm = arms.withColumn("pos", F.row_number().over(Window.partitionBy("nct_id").orderBy("arm_id"))).where("pos <= 2")
-    nth = F.col("pos").cast("string")
-    parts = [
-        facts(trials, "enrollment_count", _filled("How many participants were to be enrolled in {}?", id_), F.col("enrollment_count")),
-        facts(trials.where(~F.contains("phase", F.lit("|"))), "phase", _filled("In which phase is {}?", id_), phase),
-        facts(trials, "sponsor", _filled("Who is the lead sponsor of {}?", id_), F.col("sponsor_name")),
-        facts(eligibility, "min_age", _filled("What is the minimum age for {}?", id_), F.col("minimum_age")),
-        facts(eligibility, "max_age", _filled("What is the maximum age for {}?", id_), F.col("maximum_age")),
-        facts(primary, "primary_outcome_measure", F.concat(F.lit("What is primary outcome "), nth, F.lit(" of "), id_, F.lit("?")), F.col("measure"), F.col("pos")),
-        facts(primary, "primary_outcome_timeframe", F.concat(F.lit("What is the time frame of primary outcome "), nth, F.lit(" of "), id_, F.lit("?")), F.col("time_frame"), F.col("pos")),
-        facts(arm, "arm_label", F.concat(F.lit("What is arm "), nth, F.lit(" of "), id_, F.lit(" called?")), F.col("label"), F.col("pos")),
-    ]
+    text = lambda name: _filled(T1_TEXTS[name], id_, F.col("pos") if "#" in T1_TEXTS[name] else None)
+    sources = {
+        "enrollment_count": (trials, F.col("enrollment_count")), "phase": (trials.where(~F.contains("phase", F.lit("|"))), phase), "sponsor": (trials, F.col("sponsor_name")),
+        "min_age": (eligibility, F.col("minimum_age")), "max_age": (eligibility, F.col("maximum_age")),
+        "primary_outcome_measure": (primary, F.col("measure")), "primary_outcome_timeframe": (primary, F.col("time_frame")), "arm_label": (arm, F.col("label")),
+    }
+    parts = [facts(df, name, text(name), answer, F.col("pos") if "#" in T1_TEXTS[name] else F.lit(1)) for name, (df, answer) in sources.items()]
     return _numbered(reduce(DataFrame.unionByName, parts), "t1")
 
 
@@ -65,10 +93,12 @@ def locate_gold(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
     The protocol's chunks count; those of the analysis plan only where the protocol has none.
     """
-    q = questions.withColumn("_a", T.collapse(F.col("gold_answer")))
-    c = chunks.select("nct_id", "doc_type", "chunk_id", T.collapse(F.col("text")).alias("_t"))
-    hit = T.contains_whole_token(F.col("_a"), F.col("_t")) | ((F.length("_a") >= FUZZY_CHARS) & (T.token_set_ratio(F.col("_a"), F.col("_t")) >= FUZZY))
-    hits = q.join(c.where(F.col("doc_type").isin("protocol", "sap")), "nct_id").where(hit).select("question_id", "doc_type", "chunk_id")
+    q = questions.select("question_id", "nct_id", T.collapse(F.col("gold_answer")).alias("_a"))
+    c = chunks.where(F.col("doc_type").isin("protocol", "sap")).select("nct_id", "doc_type", "chunk_id", T.collapse(F.col("text")).alias("_t"))
+    met = q.join(c, "nct_id").withColumn("_whole", F.coalesce(T.contains_whole_token(F.col("_a"), F.col("_t")), F.lit(False)))
+    # the likeness is only worked out where the whole answer isn't there
+    alike = met.where(~F.col("_whole") & (F.length("_a") >= FUZZY_CHARS)).where(T.token_set_ratio(F.col("_a"), F.col("_t")) >= FUZZY)
+    hits = met.where("_whole").unionByName(alike).select("question_id", "doc_type", "chunk_id")
     best = priority_union(hits.where("doc_type = 'protocol'"), hits.where("doc_type = 'sap'"), ["question_id"])
     gold = best.groupBy("question_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("gold_chunk_ids"))
     return questions.join(gold, "question_id", "left").withColumn("gold_chunk_ids", F.coalesce("gold_chunk_ids", F.array().cast("array<string>")))
@@ -96,19 +126,19 @@ def strata(predictions: DataFrame) -> DataFrame:
     )
 
 
-def select_stratified(strata_: DataFrame, all_ids: DataFrame, n_divergence: int = 8, n_clean: int = 4, n_failed: int = 8, seed: int = 42) -> DataFrame:
-    """Trials in three disjoint picks, in this order of priority, and others in place of picks that are missing."""
-    wanted = n_divergence + n_clean + n_failed
+def select_stratified(strata_: DataFrame, all_ids: DataFrame, n_divergence: int = 8, n_failed: int = 4, n_clean: int = 8, seed: int = 0) -> DataFrame:
+    """``nct_id, stratum``: disjoint picks of divergence, then failed retrieval, then clean match, and others in place of picks that are missing."""
+    wanted = n_divergence + n_failed + n_clean
     picked = None
-    for flag, n in (("divergence", n_divergence), ("clean_match", n_clean), ("retrieval_failed", n_failed)):
+    for flag, n in (("divergence", n_divergence), ("retrieval_failed", n_failed), ("clean_match", n_clean)):
         pool = strata_.where(F.col(flag)).select("nct_id")
         if picked is not None:
             pool = pool.join(picked, "nct_id", "left_anti")
-        part = pool.orderBy(seeded_order(seed, F.lit(flag), F.col("nct_id")), "nct_id").limit(n)
+        part = pool.orderBy(seeded_order(seed, F.lit(flag), F.col("nct_id")), "nct_id").limit(n).withColumn("stratum", F.lit(flag))
         picked = part if picked is None else picked.union(part)
     rest = all_ids.select("nct_id").distinct().join(picked, "nct_id", "left_anti").orderBy(seeded_order(seed, F.lit("rest"), F.col("nct_id")), "nct_id")
-    filled = picked.withColumn("_p", F.lit(0)).union(rest.limit(wanted).withColumn("_p", F.lit(1)))
-    return filled.orderBy("_p", "nct_id").limit(wanted).select("nct_id")
+    filled = picked.withColumn("_p", F.lit(0)).union(rest.limit(wanted).select("nct_id", F.lit("rest"), F.lit(1)))
+    return filled.orderBy("_p", "nct_id").limit(wanted).select("nct_id", "stratum")
 
 
 def t3_questions(trials: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -118,7 +148,7 @@ def t3_questions(trials: DataFrame, outcomes: DataFrame) -> DataFrame:
     applies = {"first_posted_vs_current": F.col("registered_first"), "current_vs_protocol": F.col("registered_current"), "registry_vs_results": F.col("results_reported") & (F.col("registered_current") | F.col("registered_first"))}
     rows = F.array(*[F.when(c, F.struct(F.lit(p).alias("pair"), _filled(T3_TEXTS[p], F.col("nct_id")).alias("question_text"))) for p, c in applies.items()])
     out = t.select("nct_id", F.inline(F.filter(rows, lambda r: r.isNotNull())))
-    return out.select(F.concat_ws("-", F.lit("t3"), "nct_id", "pair").alias("question_id"), F.lit("t3").alias("tier"), "nct_id", "pair", "question_text")
+    return out.select(F.concat_ws(":", "nct_id", "pair").alias("question_id"), F.lit("t3").alias("tier"), "nct_id", "pair", "question_text")
 
 
 def t4_questions(trials: DataFrame, outcomes: DataFrame, amendments: DataFrame) -> DataFrame:
@@ -126,29 +156,29 @@ def t4_questions(trials: DataFrame, outcomes: DataFrame, amendments: DataFrame)
     events = outcome_amendments(amendments).groupBy("nct_id").agg(F.array_sort(F.collect_list(F.struct("version", "date"))).alias("events"))
     first = lambda s: outcomes.where((F.col("source") == s) & (F.col("type") == "PRIMARY")).groupBy("nct_id").agg(F.min_by("measure", "outcome_id").alias(s))
     t = trials.select("nct_id").join(events, "nct_id", "left").join(first("registered_first"), "nct_id", "left").join(first("registered_current"), "nct_id", "left")
-    n = F.coalesce(F.size("events"), F.lit(0))
-    n = F.when(F.col("events").isNull(), 0).otherwise(n)
-    dates = F.array_join(F.transform("events", lambda e: e["date"]), ", ")
-    changed = F.when(n == 0, "The registered outcomes were never changed.").when(n == 1, F.concat(F.lit("Once, on "), dates, F.lit("."))).otherwise(F.concat(n.cast("string"), F.lit(" times: "), dates, F.lit(".")))
-    id_ = F.col("nct_id")
-    parts = [
-        t.select("nct_id", F.lit("changed_when_what").alias("template"), _filled("When were the registered outcomes of {} changed?", id_).alias("question_text"), changed.alias("gold_answer"), F.lit(1).alias("pos")),
-        t.select("nct_id", F.lit("revision_count").alias("template"), _filled("How many revisions changed the outcomes of {}?", id_).alias("question_text"), n.cast("string").alias("gold_answer"), F.lit(1).alias("pos")),
-        t.select("nct_id", F.lit("first_registered").alias("template"), _filled("What was the first registered primary outcome of {}?", id_).alias("question_text"), F.col("registered_first").alias("gold_answer"), F.lit(1).alias("pos")),
-    ]
+    n = F.when(F.col("events").isNull(), 0).otherwise(F.size("events"))
+    last, current, began = F.try_element_at("events", F.lit(-1)), F.col("registered_current"), F.col("registered_first")
+    at = F.concat(F.lit("at version "), last["version"].cast("string"))
+    when = F.coalesce(last["date"].cast("string"), F.lit("None"))
+    once = F.concat(F.lit("Yes, the primary outcome was changed, from '"), began, F.lit("' to '"), current, F.lit("', "), at, F.lit(" ("), when, F.lit(")."))
+    often = F.concat(F.lit("Yes, the primary outcome was changed across "), n.cast("string"), F.lit(" revisions (most recently "), at, F.lit(", "), when, F.lit("). It now reads: '"), current, F.lit("'."))
+    # without a current outcome, or a first one where both are named, there is no answer
+    changed = F.when(current.isNotNull(), F.when(n == 0, T4_NEVER).when(n == 1, once).otherwise(often))
+    answers = {"changed_when_what": changed, "revision_count": n.cast("string"), "first_registered": began}
+    parts = [t.select("nct_id", F.lit(k).alias("template"), _filled(T4_TEXTS[k], F.col("nct_id")).alias("question_text"), a.alias("gold_answer"), F.lit(1).alias("pos")) for k, a in answers.items()]
     return _numbered(reduce(DataFrame.unionByName, parts), "t4")
 
 
-def adversarial_questions(trials: DataFrame, chunks: DataFrame, target: int, seed: int = 42) -> DataFrame:
-    """Questions without an answer: half on analysis plans of trials that have none, half out of scope."""
+def adversarial_questions(trials: DataFrame, chunks: DataFrame, target: int = 30, seed: int = 0) -> DataFrame:
+    """Questions that have to be refused: half on analysis plans of trials without a chunk of one, half on facts that no document states."""
     without = trials.select("nct_id").distinct().join(chunks.where("doc_type = 'sap'").select("nct_id").distinct(), "nct_id", "left_anti")
     parts = []
-    for category, pool, n in (("no_sap", without, target // 2), ("out_of_scope", trials.select("nct_id").distinct(), target - target // 2)):
+    for category, pool, n in (("unposted_document", without, target // 2), ("fact_not_in_corpus", trials.select("nct_id").distinct(), target - target // 2)):
         i = F.row_number().over(Window.orderBy(seeded_order(seed, F.lit(category), F.col("nct_id")), "nct_id")) - 1
         texts = ADVERSARIAL_TEXTS[category]
         rows = pool.orderBy(seeded_order(seed, F.lit(category), F.col("nct_id")), "nct_id").limit(n).withColumn("i", i)
         text = reduce(lambda acc, k: F.when(F.pmod("i", F.lit(len(texts))) == k, _filled(texts[k], F.col("nct_id"))).otherwise(acc), range(len(texts)), F.lit(None).cast("string"))
-        parts.append(rows.select(F.concat_ws("-", F.lit("adv"), F.lit(category), F.col("i").cast("string")).alias("question_id"), F.lit(category).alias("category"), "nct_id", text.alias("question_text")))
+        parts.append(rows.select(F.concat_ws(":", "nct_id", F.lit(category), F.col("i").cast("string")).alias("question_id"), "nct_id", text.alias("question_text"), F.lit(category).alias("category"), F.lit("refuse").alias("expected_behavior")))
     return parts[0].unionByName(parts[1])
 
 

@@ -87,10 +87,26 @@ def ingestion_report(sections: DataFrame, sponsors: DataFrame, raw_tables: DataF
 
 
 def discrepancy_report(scores: DataFrame, trials: int) -> str:
-    """Scores of ``score_discrepancies``: rates to three decimals, with their intervals."""
-    shown = scores.select("pair", "tp", "fp", "fn", "tn", *[F.coalesce(F.format_number(c, 3), F.lit("n/a")).alias(c) for c in ("precision", "precision_low", "precision_high", "recall", "recall_low", "recall_high", "f1")])
+    """Scores of ``score_discrepancies``: counts over their denominators, rates to three decimals with their intervals, and what was not scored."""
+    of = lambda c, n: F.concat_ws("/", F.col(c).cast("string"), n.cast("string"))
+    shown = scores.select("pair", of("tp", F.col("tp") + F.col("fp")).alias("precise"), of("tp", F.col("tp") + F.col("fn")).alias("found"), "tp", "fp", "fn", "tn", "ambiguous", "retrieval_failed", "not_applicable", *[F.coalesce(F.format_number(c, 3), F.lit("n/a")).alias(c) for c in ("precision", "precision_low", "precision_high", "recall", "recall_low", "recall_high", "f1")])
     return f"# Discrepancies\n\n{trials} trials with gold labels. Differences are candidates for review.\n\n" + as_md(shown.orderBy("pair"))
 
 
 def ablation_report(scores: DataFrame, latency: DataFrame) -> str:
     return "# Ablation\n\n" + as_md(scores) + "\n\n## Latency (ms)\n\n" + as_md(latency)
+
+
+def refusal_report(scores: DataFrame, by_category: DataFrame | None = None) -> str:
+    """Rates of ``metrics.refusal_metrics`` in percent, and of each category ``(category, refused, total)``."""
+    r = scores.first()
+    shown = lambda v: "n/a" if v is None else f"{v:.1%}"
+    lines = ["# Refusals", f"Refusal accuracy {shown(r['refusal_accuracy'])} (n={r['n_adversarial']}); over-refusal {shown(r['over_refusal_rate'])} (n={r['n_answerable']})."]
+    return "\n\n".join(lines + ([as_md(by_category.orderBy("category"))] if by_category is not None else []))
+
+
+def comparison_report(naive: DataFrame, aware: DataFrame, doc: str, start: int, end: int, most: int = 400) -> str:
+    """What naive windows and section-aware chunks make of one page range, side by side."""
+    a, b = naive_and_aware(naive, aware, doc, start, end)
+    part = lambda df, keys: as_md(df.select(*keys, T.snippet(F.col("text"), most).alias("text")).orderBy(*keys))
+    return "\n\n".join(["# Chunking", f"{doc}, pages {start} to {end}.", "## Naive windows", part(a, ["chunk_index", "page_start", "page_end"]), "## Section-aware chunks", part(b, ["chunk_index", "chunk_type", "section"])])

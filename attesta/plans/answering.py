@@ -12,19 +12,11 @@ from ..functions import models
 from ..functions import text as T
 from ..operators import compare, retrieval
 from ..operators.trace import TraceStore
+from . import generation
 
 DIGEST = "stand-in"
 
 
-def build_prompt(question: Column, texts: Column) -> Column:
-    """Numbered excerpts, the question, and how to cite or refuse."""
-    numbered = F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]\n"), t)), "\n\n")
-    return F.concat(
-        F.lit("Use only the numbered excerpts below. Each begins with a header that names its trial, kind of document and section.\n\n"), numbered,
-        F.lit("\n\nQuestion: "), question, F.lit(f"\n\nCite the excerpts that support the answer as [1] or [2][3]. If they do not hold the answer, reply with exactly {T.REFUSAL}."),
-    )
-
-
 def excerpts(ranked: DataFrame) -> DataFrame:
     """``query_id, ids, texts`` of ranked chunks, in rank order; a question has few by construction."""
     l = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("l"))
@@ -36,7 +28,9 @@ def answers(queries: DataFrame, ranked: DataFrame, generate: Callable[[Column, C
     j = queries.select("query_id", "query_text").join(excerpts(ranked), "query_id", "left")
     j = j.withColumn("ids", F.coalesce("ids", F.array().cast("array<string>"))).withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
     j = j.withColumn("response_text", generate(F.col("query_text"), F.col("texts")))
-    return j.select("query_id", "response_text", T.citations(F.col("response_text"), F.col("ids")).alias("cited_chunk_ids"), T.is_refusal(F.col("response_text")).alias("is_refusal"))
+    refused = T.is_refusal(F.col("response_text"))
+    cited = F.when(refused, F.array().cast("array<string>")).otherwise(T.citations(F.col("response_text"), F.col("ids")))
+    return j.select("query_id", "response_text", cited.alias("cited_chunk_ids"), refused.alias("is_refusal"))
 
 
 def retrieve(chunks: DataFrame, index: DataFrame, queries: DataFrame, filters: retrieval.QueryFilters | None = None, reranked: bool = True, k: int = retrieval.TOP) -> DataFrame:
@@ -46,23 +40,42 @@ def retrieve(chunks: DataFrame, index: DataFrame, queries: DataFrame, filters: r
     return retrieval.rerank(texts, queries, models.overlap_score, k) if reranked else texts
 
 
-def answer(spark: SparkSession, chunks: DataFrame, index: DataFrame, question: str, nct_id: str | None = None, store: TraceStore | None = None, embed: Callable[[Column], Column] = models.hash_embedding, generate: Callable[[Column, Column], Column] = models.extractive_answer) -> Iterator[dict]:
-    """Events of one answer: a token event for each word, then one with the citations. Stages are traced if a store is given."""
+def answer(spark: SparkSession, chunks: DataFrame, index: DataFrame, question: str, nct_id: str | None = None, store: TraceStore | None = None, embed: Callable[[Column], Column] = models.hash_embedding, generate: Callable[[Column, Column], Column] = models.extractive_answer, tier: str | None = None, outcomes: DataFrame | None = None) -> Iterator[dict]:
+    """Events of one answer: token events, then one with the citations.
+
+    With a store, every stage is traced and the answer is taken from the cache if the model gave it before; a cached
+    answer is one token event, a new one has one for each word. Tier ``T3`` answers across sources: excerpts are the
+    protocol's best chunk and the registry's ``outcomes``, first-posted and current, instead of a ranking.
+    """
     filters = retrieval.parse_query(question, nct_id)
-    qid = store.log_query(question) if store else 0
+    qid = store.log_query(question, tier) if store else 0
     q = spark.range(1).select(F.lit(qid).alias("query_id"), F.lit(question).alias("query_text")).withColumn("query_vector", embed(F.col("query_text")))
+    if tier == "T3" and nct_id is not None and outcomes is not None:
+        filters = next(f for leg, _, f in retrieval.decompose(question, nct_id) if leg == "protocol")
     if store:
-        with store.step(qid, "hybrid", filters.describe()) as held:
-            ranked = retrieve(chunks, index, q, filters).cache()
-            held["hits"] = ranked.select("chunk_id", "rank", F.col("score"))
+        ranked = generation.traced_ladder(chunks, index, q, store, models.overlap_score, filters=filters)
     else:
         ranked = retrieve(chunks, index, q, filters)
-    row = answers(q, ranked, generate).first()
+    if tier == "T3" and nct_id is not None and outcomes is not None:
+        ranked = source_excerpts(spark, nct_id, ranked, outcomes, qid)
     if store:
-        store.log_generation(qid, DIGEST, "", row["response_text"], 0.0, len(row["response_text"].split()), 0, False)
-    for word in row["response_text"].split():
-        yield {"type": "token", "text": word}
-    yield {"type": "done", "response_text": row["response_text"], "cited_chunk_ids": row["cited_chunk_ids"], "is_refusal": row["is_refusal"]}
+        row = generation.generate_answers(q, excerpts(ranked), store, DIGEST, generation.column_generator(models.prompted(generate))).first()
+    else:
+        row = answers(q, ranked, generate).first()
+    cached = bool(store) and row["from_cache"]
+    for piece in [row["response_text"]] if cached else row["response_text"].split():
+        yield {"type": "token", "text": piece}
+    done = {"type": "done", "response_text": row["response_text"], "cited_chunk_ids": row["cited_chunk_ids"], "is_refusal": row["is_refusal"]}
+    yield done | ({"query_id": qid, "generation_id": row["generation_id"], "from_cache": cached} if store else {})
+
+
+def source_excerpts(spark: SparkSession, nct_id: str, ranked: DataFrame, outcomes: DataFrame, query_id: int) -> DataFrame:
+    """The three legs of a question across sources as a ranking ``query_id, chunk_id, rank, text``; legs without a text are left out."""
+    best = ranked.where("rank = 1").select(F.lit(nct_id).alias("nct_id"), "chunk_id", "text", "rank")
+    row = retrieval.cross_source(spark.range(1).select(F.lit(nct_id).alias("nct_id")), outcomes, best)
+    legs = [("protocol_leg", F.col("protocol_chunk_id")), ("registered_first", F.lit(f"{nct_id}:registered_first")), ("registered_current", F.lit(f"{nct_id}:registered_current"))]
+    rows = row.select(F.posexplode(F.filter(F.array(*[F.struct(c.alias("chunk_id"), F.col(leg).alias("text")) for leg, c in legs]), lambda x: x["text"].isNotNull())).alias("pos", "x"))
+    return rows.select(F.lit(query_id).alias("query_id"), F.col("x.chunk_id").alias("chunk_id"), (F.col("pos") + 1).alias("rank"), F.col("x.text").alias("text"))
 
 
 def sse(event: dict) -> str:

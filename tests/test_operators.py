@@ -153,6 +153,21 @@ def test_detector(spark):
     assert last.verdict == "match" and last.citations["registry_outcome_id"] == "1"
 
 
+def test_headings_and_bands(spark):
+    b = lambda page, pos, text, size, bold, top: ("d", page, pos, text, size, bold, 100.0, top, top + 30)
+    long = "5.1 Objectives " + "and so on " * 15
+    blocks = spark.createDataFrame(
+        [b(0, 0, "Version 3.0", 10.0, False, 11.0), b(0, 1, "Version 4.0", 10.0, False, 12.0), b(1, 0, "Colophon", 10.0, True, 50.0), b(1, 1, "plain text of a page", 10.0, False, 60.0), b(2, 0, long, 10.0, True, 50.0), b(3, 0, long, 10.0, False, 50.0), b(3, 1, "Version 5", 10.0, False, 88.5)],
+        "doc string, page int, pos int, text string, font_size double, bold boolean, page_height double, top double, bottom double",
+    )
+    got = [(r.label, r.heading, r.method, r.range_start, r.range_end) for r in documents.sections(blocks).orderBy("section_pos").collect()]
+    assert got == [("unclassified", None, "unmatched", 0, 0), ("unclassified", "Colophon", "regex", 1, 1), ("objectives", got[2][1], "regex", 2, 3)] and got[2][1].startswith("5.1 Objectives and")
+    marks = {r.page: r.marker and r.marker.version for r in documents.page_markers(blocks).collect()}
+    assert marks == {0: 3.0, 1: None, 2: None, 3: 5.0}  # the top edge decides for both bands
+    n = spark.createDataFrame([("5.1 Study Objectives",), ("123 Not a number of a heading",), ("no number",), ("2. study drug & dose",)], "t string")
+    assert [r[0] for r in n.select(documents.numbered_prefix(F.col("t"))).collect()] == ["5.1 Study Objectives", None, None, "2. study drug"]
+
+
 def test_documents(spark):
     blocks = spark.createDataFrame(
         [("d", 0, 0, "Synopsis", 14.0, True, 100.0, 50.0, 60.0), ("d", 0, 1, "body text here", 10.0, False, 100.0, 61.0, 70.0), ("d", 1, 0, "Version 2.0", 10.0, False, 100.0, 95.0, 99.0), ("d", 1, 1, "more body", 10.0, False, 100.0, 40.0, 45.0)],

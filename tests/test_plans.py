@@ -84,16 +84,16 @@ def test_questions(spark, archive):
     t, o = facts.trials(cur), facts.outcomes(cur, v0)
     q = questions.t1_questions(t, o, facts.arms(cur), facts.eligibility(cur))
     got = {r.question_id: r for r in q.collect()}
-    assert got["t1-NCT00000001-phase-0"].gold_answer == "Phase 2" and "t1-NCT00000001-max_age-0" not in got
-    assert got["t1-NCT00000001-primary_outcome_timeframe-1"].question_text.endswith("outcome 2 of NCT00000001?")
+    assert got["NCT00000001:phase:0"].gold_answer == "Phase 2" and "NCT00000001:max_age:0" not in got
+    assert got["NCT00000001:primary_outcome_timeframe:1"].question_text.endswith("outcome 2 of NCT00000001?")
     ok, bad = questions.usable(questions.locate_gold(q, chunk_rows(spark)))
-    assert ok.where("question_id = 't1-NCT00000001-enrollment_count-0'").first()["gold_chunk_ids"] == ["NCT00000001:protocol:1"]
+    assert ok.where("question_id = 'NCT00000001:enrollment_count:0'").first()["gold_chunk_ids"] == ["NCT00000001:protocol:1"]
     assert bad.where("reason = 'unlocatable'").count() > 0
     capped = questions.capped(q, "template", ["phase", "sponsor"], 3, 1).collect()
     assert len(capped) == 3
     assert questions.t3_questions(t, o).count() == 8
     t4 = {r.question_id: r.gold_answer for r in questions.t4_questions(t, o, facts.amendments(files.histories(spark, archive))).collect()}
-    assert t4["t4-NCT00000001-revision_count-0"] == "1" and t4["t4-NCT00000003-revision_count-0"] == "0" and "t4-NCT00000003-first_registered-0" not in t4
+    assert t4["NCT00000001:revision_count:0"] == "1" and t4["NCT00000003:revision_count:0"] == "0" and "NCT00000003:first_registered:0" not in t4
     assert questions.adversarial_questions(t, chunk_rows(spark), 4).count() == 4
     pred = spark.createDataFrame([("a", "divergence", False), ("b", "match", False), ("c", None, True)], "nct_id string, verdict string, retrieval_failed boolean")
     ids = spark.createDataFrame([(x,) for x in "abcdef"], "nct_id string")
@@ -101,6 +101,44 @@ def test_questions(spark, archive):
     assert questions.worksheet(questions.t3_questions(t, o), o, chunk_rows(spark)).count() == 8
 
 
+def test_stratified_picks_and_their_order(spark):
+    """Eight divergent trials, four of failed retrieval, eight clean ones, disjoint; what is missing is filled up."""
+    rows = [(f"d{i:02}", "divergence", i < 6) for i in range(12)] + [(f"f{i}", None, True) for i in range(7)] + [(f"m{i}", "match", False) for i in range(5)]
+    ids = spark.createDataFrame([(r[0],) for r in rows] + [(f"x{i}",) for i in range(9)], "nct_id string")
+    got = questions.select_stratified(questions.strata(spark.createDataFrame(rows, "nct_id string, verdict string, retrieval_failed boolean")), ids).collect()
+    by = {k: [r.nct_id for r in got if r.stratum == k] for k in ("divergence", "retrieval_failed", "clean_match", "rest")}
+    assert {k: len(v) for k, v in by.items()} == {"divergence": 8, "retrieval_failed": 4, "clean_match": 5, "rest": 3} and len({r.nct_id for r in got}) == 20
+    assert all(n[0] in "df" for n in by["retrieval_failed"]) and all(n[0] == "m" for n in by["clean_match"])
+
+
+def test_t4_answers(spark):
+    t = spark.createDataFrame([(x,) for x in "abcde"], "nct_id string")
+    o = spark.createDataFrame(
+        [(n, s, "PRIMARY", m, i) for i, (n, s, m) in enumerate([("a", "registered_first", "OS"), ("a", "registered_current", "PFS"), ("b", "registered_current", "ORR"), ("c", "registered_current", "DFS"), ("d", "registered_first", "OS"), ("e", "registered_current", "X"), ("e", "registered_first", "Y")])],
+        "nct_id string, source string, type string, measure string, outcome_id long",
+    )
+    am = spark.createDataFrame([("a", 5, "2019-05-01"), ("b", 2, "2018-01-01"), ("d", 3, None), ("e", 2, "2020-01-01"), ("e", 9, "2021-02-02")], "nct_id string, version int, date string")
+    am = am.withColumn("modules_changed", F.array(F.lit(facts.OUTCOME_MODULE)))
+    got = {r.question_id: r.gold_answer for r in questions.t4_questions(t, o, am).collect()}
+    assert got["a:changed_when_what:0"] == "Yes, the primary outcome was changed, from 'OS' to 'PFS', at version 5 (2019-05-01)."
+    assert "b:changed_when_what:0" not in got and "d:changed_when_what:0" not in got  # no first, no current outcome
+    assert got["c:changed_when_what:0"] == "No, the primary outcome was not changed after first posting."
+    assert got["e:changed_when_what:0"] == "Yes, the primary outcome was changed across 2 revisions (most recently at version 9, 2021-02-02). It now reads: 'X'."
+    assert got["a:first_registered:0"] == "OS" and got["d:revision_count:0"] == "1"
+
+
+def test_phase_without_a_number_and_refusals(spark):
+    t = spark.createDataFrame([("n1", "NA", 3, "s"), ("n2", "PHASE1|PHASE2", None, "")], "nct_id string, phase string, enrollment_count int, sponsor_name string")
+    none = lambda cols: spark.createDataFrame([], cols)
+    q = questions.t1_questions(t, none("nct_id string, source string, type string, measure string, time_frame string, outcome_id long"), none("nct_id string, arm_id long, label string"), none("nct_id string, minimum_age string, maximum_age string"))
+    assert {r.question_id: (r.question_text, r.gold_answer) for r in q.collect()} == {
+        "n1:phase:0": ("What phase is the n1 trial?", "N/A"), "n1:enrollment_count:0": ("What is the target enrollment for n1?", "3"), "n1:sponsor:0": ("Who is the sponsor of n1?", "s"),
+    }
+    adv = questions.adversarial_questions(t, spark.createDataFrame([("n1", "sap")], "nct_id string, doc_type string"), 4).collect()
+    assert sorted((r.category, r.nct_id) for r in adv) == [("fact_not_in_corpus", "n1"), ("fact_not_in_corpus", "n2"), ("unposted_document", "n2")]
+    assert all(r.expected_behavior == "refuse" and r.nct_id in r.question_text for r in adv)
+
+
 def test_embedding_cache(spark):
     c = chunk_rows(spark).drop("embedding")
     first = embedding.embedded(c, None, models.hash_embedding, "r1")
@@ -126,7 +164,7 @@ def test_answer_and_trace(spark, tmp_path):
     assert store.find_generation("d", "h") is None
     events = list(answering.answer(spark, c, index, "What is the sample size of patients?", "NCT00000001", store))
     assert events[-1]["type"] == "done" and events[-1]["cited_chunk_ids"] == ["NCT00000001:protocol:1"]
-    assert store.table("retrieval_step").count() == 1 and store.table("chunk_hit").agg(F.min("rank")).first()[0] == 0
+    assert store.table("retrieval_step").count() == 5 and store.table("chunk_hit").agg(F.min("rank")).first()[0] == 0
     id_ = store.log_generation(1, "d", "h", "x", 1.0, 3, 5, False)
     assert store.find_generation("d", "h")["generation_id"] == id_ and store.usage().where("model_digest = 'd'").first()["tokens_in"] == 5
     assert answering.sse({"a": 1}) == 'data: {"a": 1}\n\n' and answering.healthy(spark)
