@@ -52,14 +52,18 @@ def parse_query(query: str, nct_id: str | None = None) -> QueryFilters:
     return QueryFilters(nct_id if nct_id is not None else found.group(0).upper() if found else None, kind, float(version.group(1)) if version else None)
 
 
+#: Queries of one matrix that is sent to the executors, and of one slice of it that is multiplied with a batch of items.
+QUERY_ROWS, SLICE = 20_000, 512
+
+
 def dense_search(items: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id", vector: str = "embedding", filters: QueryFilters | None = None, match: str | None = None) -> DataFrame:
     """The ``k`` nearest items of every query ``(query_id, query_vector)`` by cosine distance: ``query_id, id, distance, rank``.
 
-    Exact, in double precision. Items without a vector are left out; ties go by id; pairs of unequal length or with a
-    zero vector have no distance. The queries are a stated set. Up to ``MOST_QUERIES`` of them, a number that is
-    checked, are sent to the executors as one matrix, items stream past it in batches, and each batch hands on k rows a
-    query at most. Larger sets are left to a join that keeps k rows a query and task before the shuffle. With ``match``, a column
-    of both sides, a query only meets the items that have its value there; null meets null.
+    Exact, in double precision. Items without a vector are left out; ties go by id; pairs of unequal length, with a
+    zero vector or a component that is null or not finite have no distance. The queries are a stated set: they go out in
+    matrices of ``QUERY_ROWS``, one after the other whatever their number, items stream past each in batches, and a task
+    hands on k rows a query and ties of the last. With ``match``, a column of both sides, a query only meets the items
+    that have its value there; null meets null.
     """
     items = items.where(F.col(vector).isNotNull())
     if filters is not None:
@@ -67,59 +71,87 @@ def dense_search(items: DataFrame, queries: DataFrame, k: int, id_: str = "chunk
     key = F.col(match).cast("string") if match else F.lit(None).cast("string")
     items = items.select(F.col(id_).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), key.alias("_m"))
     side = queries.where(F.col("query_vector").isNotNull()).select("query_id", F.col("query_vector").cast("array<double>").alias("_q"), key.alias("_k"))
-    few = side.limit(MOST_QUERIES + 1).collect()
-    if len(few) <= MOST_QUERIES:
-        scored = _matrix_top(items, few, k, side.schema["query_id"].dataType)
-    else:
-        scored = items.join(side, F.col("_m").eqNullSafe(F.col("_k"))).select("query_id", "_id", cosine_distance(F.col("_v"), F.col("_q")).alias("distance")).where("distance is not null")
+    parts = max(1, -(-side.count() // QUERY_ROWS))
+    blocks = [side.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [side]
+    scored = None
+    for block in blocks:
+        found = _matrix_top(items, block.toArrow(), k, side.schema["query_id"].dataType)
+        scored = found if scored is None else scored.unionByName(found)
     w = Window.partitionBy("query_id").orderBy("distance", "_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("_id", id_)
 
 
-def _matrix_top(items: DataFrame, queries: list, k: int, query_type) -> DataFrame:
-    """Per batch of items the k nearest of every query, as ``query_id, _id, distance``."""
-    by_size: dict[int, list] = {}
-    for q in queries:
-        v = np.array(q["_q"], float)
-        if len(v) and np.isfinite(v).all() and v.any():
-            by_size.setdefault(len(v), []).append((q["query_id"], v / np.sqrt((v * v).sum()), q["_k"]))
-    groups = {n: ([i for i, _, _ in qs], np.stack([v for _, v, _ in qs]), [m for _, _, m in qs]) for n, qs in by_size.items()}
-    shared = items.sparkSession.sparkContext.broadcast(groups)  # at most MOST_QUERIES vectors
-    id_type = items.schema["_id"].dataType
-    schema = StructType([StructField("query_id", query_type), StructField("_id", id_type), StructField("distance", DoubleType())])
+def _rows_of(lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those lists that have ``size`` finite components, not all 0: their places and unit vectors."""
+    cuts = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(np.diff(cuts) == size)
+    x = flat[cuts[rows][:, None] + np.arange(size)] if len(rows) else np.zeros((0, size))
+    fit = np.isfinite(x).all(1) & (x != 0).any(1)
+    x = x[fit]
+    return rows[fit], x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _matrix_top(items: DataFrame, queries: pa.Table, k: int, query_type) -> DataFrame:
+    """Per task the k nearest items of every query, and those as near as the k-th, as ``query_id, _id, distance``."""
+    queries = queries.combine_chunks()
+    vectors = queries.column("_q").chunk(0) if queries.num_rows else pa.array([], pa.list_(pa.float64()))
+    marks = queries.column("_k").to_pylist()
+    codes = {m: i for i, m in enumerate(dict.fromkeys(marks))}
+    groups = {}
+    for n in np.unique(np.diff(vectors.offsets.to_numpy())).tolist() if len(vectors) else ():
+        at, unit = _rows_of(vectors, n)
+        if n and len(at):
+            groups[n] = queries.column("query_id").take(pa.array(at)).combine_chunks(), unit, np.array([codes[marks[i]] for i in at.tolist()])
+    shared = items.sparkSession.sparkContext.broadcast((groups, codes))  # about QUERY_ROWS vectors at most
+    schema = StructType([StructField("query_id", query_type), StructField("_id", items.schema["_id"].dataType), StructField("distance", DoubleType())])
     arrow = to_arrow_schema(schema)
-    none = _NONE
+
+    def nearest(query, distance):
+        """Places of the k least distances of each query and of those equal to the k-th."""
+        order = np.lexsort((distance, query))
+        q, d = query[order], distance[order]
+        first = np.searchsorted(q, q, "left")
+        last = np.minimum(first + k - 1, np.searchsorted(q, q, "right") - 1)
+        return order[d <= d[last]]
 
     def run(batches):
-        for batch in batches:
-            vectors = batch.column("_v")
-            flat, cuts = vectors.flatten().to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
-            cuts = cuts - cuts[0]
-            sizes = np.diff(cuts)
-            marks = np.array([m if m is not None else none for m in batch.column("_m").to_pylist()], object)
-            for n, (names, matrix, keys) in shared.value.items():
-                rows = np.flatnonzero(sizes == n)
-                if not len(rows):
-                    continue
-                x = flat[cuts[rows][:, None] + np.arange(n)]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = 1 - (x @ matrix.T) / np.sqrt((x * x).sum(1))[:, None]
-                ids = batch.column("_id").take(pa.array(rows))
-                at = {m: np.flatnonzero(marks[rows] == (m if m is not None else none)) for m in set(keys)}
-                for j, (name, mark) in enumerate(zip(names, keys)):
-                    near = at[mark][np.isfinite(d[at[mark], j])]
-                    if len(near) > k:  # all ties of the k-th stay: the final order decides between them
-                        near = near[d[near, j] <= np.partition(d[near, j], k - 1)[k - 1]]
-                    if len(near):
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(near), arrow.field(0).type), ids.take(pa.array(near)), pa.array(d[near, j])], schema=arrow)
+        groups, codes = shared.value
+        held: dict = {n: ([], [], []) for n in groups}
 
-    return items.mapInArrow(run, schema)
+        def packed(n):
+            q, d, ids = (held[n][0], held[n][1], held[n][2])
+            if not q:
+                return None
+            q, d, ids = np.concatenate(q), np.concatenate(d), pa.concat_arrays(ids)
+            best = nearest(q, d)
+            return q[best], d[best], ids.take(pa.array(best))
 
+        for batch in batches:
+            mark = np.array([codes.get(m, -1) for m in batch.column("_m").to_pylist()])
+            for n, (names, matrix, keys) in groups.items():
+                rows, x = _rows_of(batch.column("_v"), n)
+                for a in range(0, len(matrix) if len(rows) else 0, SLICE):
+                    d = 1 - x @ matrix[a : a + SLICE].T
+                    d[mark[rows][:, None] != keys[a : a + SLICE]] = np.inf
+                    if len(rows) > k:
+                        near = d <= np.partition(d, k - 1, axis=0)[k - 1]
+                        item, query = np.nonzero(near & np.isfinite(d))
+                    else:
+                        item, query = np.nonzero(np.isfinite(d))
+                    held[n][0].append(query + a)
+                    held[n][1].append(d[item, query])
+                    held[n][2].append(batch.column("_id").take(pa.array(rows[item])))
+                if sum(map(len, held[n][0])) > 4 * k * len(matrix) + 100_000:
+                    held[n] = tuple([c] for c in packed(n))
+        for n, (names, _, _) in groups.items():
+            best = packed(n)
+            if best is not None:
+                for a in range(0, len(best[0]), 50_000):
+                    q, d, ids = (c[a : a + 50_000] for c in best)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids, pa.array(d)], schema=arrow)
 
-#: Stands for null among the values of ``match``.
-_NONE = "\x01null"
-#: Most queries of one batch that are broadcast; larger batches are left to the planner.
-MOST_QUERIES = 20_000
+    return items.mapInArrow(run, schema)
 
 
 def stem(word: Column) -> Column:
@@ -131,54 +163,84 @@ def stem(word: Column) -> Column:
     return s
 
 
-def lexemes(text: Column, stems: bool = True) -> Column:
-    """``(term, position)`` of a text's words; stop words have no entry but count in the positions, from 1."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0))
-    entries = F.transform(words, lambda w, i: F.struct((stem(w) if stems else w).alias("term"), (i + 1).alias("position"), w.alias("_w")))
-    kept = F.filter(entries, lambda e: ~e["_w"].isin(*STOP_WORDS))
-    return F.transform(kept, lambda e: F.struct(e["term"].alias("term"), e["position"].alias("position")))
+WORD = r"(?U)[\p{L}\p{N}_]+"
+
+
+def lexemes(items: DataFrame, id_: list[str], text: str, stems: bool = True) -> DataFrame:
+    """One row ``(id, position, term)`` per word of a text; stop words have none but count in the positions, from 1."""
+    words = items.select(*id_, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("position", "term"))
+    kept = words.where(~F.col("term").isin(*STOP_WORDS)).withColumn("position", F.col("position") + 1)
+    return kept.withColumn("term", stem(F.col("term"))) if stems else kept
+
 
+def token_table(items: DataFrame, id_: str, text: str, stems: bool = True, terms: DataFrame | None = None) -> DataFrame:
+    """``id, term, positions``: the inverted index as a table, to be written sorted by term; with ``terms (term)``, only for these.
 
-def token_table(items: DataFrame, id_: str, text: str, stems: bool = True, terms: list[str] | None = None) -> DataFrame:
-    """``id, term, positions``: the inverted index as a table, to be written sorted by term; with ``terms``, only for these."""
-    found = lexemes(F.col(text), stems)
+    Words that nobody asks for go before anything is grouped, so with ``terms`` only their rows are shuffled.
+    """
+    found = lexemes(items, [id_], text, stems)
     if terms is not None:
-        found = F.filter(found, lambda e: e["term"].isin(*terms))
-    return items.select(id_, F.explode(found).alias("e")).groupBy(id_, "e.term").agg(F.array_sort(F.collect_list("e.position")).alias("positions"))
+        found = found.join(terms.select("term").distinct(), "term", "left_semi")
+    return found.groupBy(id_, "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+
+
+def query_terms(queries: DataFrame, stems: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct ``(query_id, term)`` of ``queries (query_id, query_text)``, with the columns in ``also``."""
+    return lexemes(queries, ["query_id", *also], "query_text", stems).select("query_id", *also, "term").distinct()
 
 
 def cover_density(positions: Column) -> Column:
     """Cover density of ``array<array<int>>``, one array of positions per query term: 0.1 per minimal cover, over the words in it that are not query terms, plus 1.
 
-    Every position is the end of at most one minimal cover: take the last occurrence of each term up to it; the cover
-    starts at the least of them and is minimal if no later end has the same start.
+    One sweep over all positions in order. The cover that ends at a position starts at the earliest of the terms' last
+    places up to it; it is minimal if no cover that ended before starts there. The state holds the place in the sweep
+    at which each term was last seen.
     """
-    ends = F.array_sort(F.array_distinct(F.flatten(positions)))
+    tagged = F.flatten(F.transform(positions, lambda p, t: F.transform(p, lambda x: F.struct(x.alias("at"), t.alias("term")))))
+    start = F.struct(
+        F.transform(positions, lambda p: F.lit(-1)).alias("last"), F.lit(-1).alias("before"), F.lit(0).alias("i"), F.lit(0.0).cast("double").alias("score"),
+        F.transform(positions, lambda p: F.lit(0)).alias("where"),
+    )
 
-    def start(e):
-        lasts = F.transform(positions, lambda p: F.array_max(F.filter(p, lambda x: x <= e)))
-        return F.when(F.forall(lasts, lambda x: x.isNotNull()), F.array_min(lasts))
+    def step(acc, e):
+        last = F.transform(acc["last"], lambda x, t: F.when(t == e["term"], acc["i"]).otherwise(x))
+        where = F.transform(acc["where"], lambda x, t: F.when(t == e["term"], e["at"]).otherwise(x))
+        first, begin = F.array_min(last), F.array_min(where)
+        # words of the cover that are no query terms
+        other = (e["at"] - begin + 1) - (acc["i"] - first + 1)
+        more = F.when((first >= 0) & (first > acc["before"]), F.lit(0.1).cast("double") / (1 + other)).otherwise(F.lit(0.0).cast("double"))
+        return F.struct(last.alias("last"), F.greatest(acc["before"], first).alias("before"), (acc["i"] + 1).alias("i"), (acc["score"] + more).alias("score"), where.alias("where"))
 
-    covers = F.filter(F.transform(ends, lambda e: F.struct(start(e).alias("s"), e.alias("e"))), lambda c: c["s"].isNotNull())
-    minimal = F.filter(covers, lambda c: ~F.exists(covers, lambda d: (d["s"] >= c["s"]) & (d["e"] < c["e"])))
-    inside = lambda c: F.size(F.filter(ends, lambda x: (x >= c["s"]) & (x <= c["e"])))
-    return F.aggregate(minimal, F.lit(0.0), lambda acc, c: acc + F.lit(0.1) / (1 + (c["e"] - c["s"] + 1 - inside(c))))
+    return F.aggregate(F.array_sort(tagged), start, step, lambda acc: acc["score"])
+
+
+def full_matches(index: DataFrame, terms: DataFrame, id_: str = "chunk_id", match: str | None = None) -> DataFrame:
+    """Items with every term of a query, from distinct ``terms (query_id, term)``: ``query_id, id, positions`` with one array a term.
+
+    Candidates of a query are the items with its rarest term; only for them are the other terms looked up.
+    """
+    also = [match] if match else []
+    common = index.groupBy("term").agg(F.count(F.lit(1)).alias("items"))
+    rarest = terms.join(common, "term", "left").groupBy("query_id", *also).agg(
+        F.min_by("term", F.struct(F.coalesce("items", F.lit(0)), "term")).alias("term"), F.count(F.lit(1)).alias("need")
+    )
+    candidates = index.select(id_, "term", *also).join(rarest, ["term", *also]).select("query_id", id_, "need")
+    wanted = candidates.join(terms.select("query_id", "term"), "query_id")
+    hits = index.select(id_, "term", "positions").join(wanted, [id_, "term"])
+    found = hits.groupBy("query_id", id_).agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.collect_list("positions").alias("positions"))
+    return found.where("n = need").select("query_id", id_, "positions")
 
 
 def lexical_search(index: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id", stems: bool = True, match: str | None = None) -> DataFrame:
     """Items with every term of a query ``(query_id, query_text)``, by cover density: ``query_id, id, score, rank``.
 
-    ``index`` is a ``token_table``. The join is on the terms asked for; items that lack a term fall out by the count.
-    A query without a term finds nothing; ties go by id. With ``match``, a column of both sides, a query only meets the
-    items that have its value there.
+    ``index`` is a ``token_table``. A query without a term finds nothing; ties go by id. With ``match``, a column of both
+    sides, a query only meets the items that have its value there.
     """
-    also = [match] if match else []
-    terms = queries.select("query_id", *also, F.explode(F.array_distinct(F.transform(lexemes(F.col("query_text"), stems), lambda e: e["term"]))).alias("term"))
-    need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    hits = index.join(terms, ["term", *also]).groupBy("query_id", id_).agg(F.count(F.lit(1)).alias("n"), F.collect_list("positions").alias("positions"))
-    full = hits.join(need, "query_id").where("n = need")
+    found = full_matches(index, query_terms(queries, stems, (match,) if match else ()), id_, match)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_)
-    return full.select("query_id", id_, F.bround(cover_density(F.col("positions")), 9).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    scored = found.select("query_id", id_, F.bround(cover_density(F.col("positions")), 9).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def reciprocal_rank_fusion(rankings: Iterable[DataFrame], id_: str = "chunk_id", k: int = RRF_K) -> DataFrame:

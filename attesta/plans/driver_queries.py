@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as T
 from ..functions.vectors import cosine_distance  # noqa: F401  (part of the public surface)
-from ..operators import chunking, compare, metrics, relational, retrieval
+from ..operators import chunking, compare, embedding, metrics, relational, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,51 +89,74 @@ def retrieval_metrics(spark, sf_dir):
     return scored.select("questions", *[F.round(c, 6).alias(c) for c in scored.columns if c != "questions"])
 
 
+def _stem_sql(w: str) -> str:
+    """The light stemmer in SQL; look-behinds become groups that are put back."""
+    for pattern, new in (("([a-z]{3})sses$", r"\1ss"), ("([a-z]{2})ies$", r"\1y"), ("([a-z]{2}[^s])s$", r"\1"), ("([a-z]{3})(ing|ed|ly)$", r"\1")):
+        w = f"regexp_replace({w}, '{pattern}', '{new}')"
+    return w
 
 
-@query("""
-WITH q(query_id, term) AS (VALUES (0, 'thend'), (0, 'anre'), (1, 'enan'), (1, 'oner'), (2, 'shou')),
-w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1) AS pos FROM documents),
-h AS (SELECT query_id, doc_id, term, count(*) AS n, min(pos) AS first FROM w JOIN q USING (term) GROUP BY ALL),
-need AS (SELECT query_id, count(*) AS need FROM q GROUP BY query_id)
-SELECT query_id::INT AS query_id, doc_id, sum(n)::BIGINT AS matches, min(first)::INT AS first_position
+_STOPS = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+
+
+def _lexical_sql(texts: str, queries: str, extra: str = "") -> str:
+    """CTEs ``h`` (hits of documents with all terms) and ``s`` (scores by cover density), of ``texts (id, text)`` and ``queries (query_id, text)``.
+
+    A hit is the last of its term up to the next one; the cover that starts there ends where all earlier hits are no
+    longer the last of theirs and every term was seen, if that is before the hit's own next one.
+    """
+    words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+    return rf"""
+dw AS (SELECT id, unnest({words}) AS w, generate_subscripts({words}, 1) AS pos FROM ({texts})),
+qw AS (SELECT query_id, unnest({words}) AS w FROM ({queries})),
+dt AS (SELECT id, pos, {_stem_sql('w')} AS term FROM dw WHERE w NOT IN ({_STOPS})),
+qt AS (SELECT DISTINCT query_id, {_stem_sql('w')} AS term FROM qw WHERE w NOT IN ({_STOPS})),
+need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1),
+full_ AS (SELECT query_id, id FROM dt JOIN qt USING (term) {extra} GROUP BY query_id, id HAVING count(DISTINCT term) = (SELECT need FROM need n WHERE n.query_id = qt.query_id)),
+h AS (SELECT f.query_id, f.id, term, pos, row_number() OVER (PARTITION BY f.query_id, f.id ORDER BY pos) AS i,
+  lead(pos) OVER (PARTITION BY f.query_id, f.id, term ORDER BY pos) AS nxt, min(pos) OVER (PARTITION BY f.query_id, f.id, term) AS seen FROM full_ f JOIN qt ON qt.query_id = f.query_id JOIN dt USING (id, term)),
+c AS (SELECT *, greatest(pos, max(seen) OVER (PARTITION BY query_id, id), coalesce(max(coalesce(nxt, 1000000000)) OVER (PARTITION BY query_id, id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS e FROM h),
+s AS (SELECT c.query_id, c.id, round_even(sum(0.1::DOUBLE / (1 + (e - c.pos + 1) - (h.i - c.i + 1))), 9) AS score FROM c JOIN h ON h.query_id = c.query_id AND h.id = c.id AND h.pos = e WHERE e < coalesce(c.nxt, 1000000000) GROUP BY 1, 2)"""
+
+
+def _items_as_queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+@query(r"""
+WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1) AS pos FROM documents),
+k AS (SELECT * FROM q WHERE term NOT IN (""" + _STOPS + r""")),
+h AS (SELECT query_id, doc_id, term, count(*) AS n, min(pos) AS first FROM w JOIN k USING (term) GROUP BY ALL),
+need AS (SELECT query_id, count(*) AS need FROM k GROUP BY query_id)
+SELECT query_id, doc_id, sum(n)::BIGINT AS matches, min(first)::INT AS first_position
 FROM h JOIN need USING (query_id) GROUP BY query_id, doc_id, need HAVING count(*) = need""")
 def lexical_match(spark, sf_dir):
-    """Documents that hold every word of a query, with number and first position of the matches; no stemming."""
-    index = retrieval.token_table(table(spark, sf_dir, "documents"), "doc_id", "text", stems=False, terms=["thend", "anre", "enan", "oner", "shou"])
-    q = spark.createDataFrame([(0, "thend"), (0, "anre"), (1, "enan"), (1, "oner"), (2, "shou")], "query_id int, term string")
-    need = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    hits = index.join(F.broadcast(q), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("positions")).cast("long").alias("matches"), F.min(F.array_min("positions")).alias("first_position"))
-    return hits.join(F.broadcast(need), "query_id").where("n = need").select("query_id", "doc_id", "matches", "first_position")
+    """Documents that hold every word of a benchmark item, with number and first position of the matches; no stemming."""
+    q = _items_as_queries(spark, sf_dir)
+    terms = retrieval.query_terms(q, stems=False)
+    index = retrieval.token_table(table(spark, sf_dir, "documents"), "doc_id", "text", stems=False, terms=terms)
+    return retrieval.full_matches(index, terms, "doc_id").select(
+        "query_id", "doc_id", F.aggregate("positions", F.lit(0).cast("long"), lambda acc, p: acc + F.size(p)).alias("matches"), F.array_min(F.transform("positions", F.array_min)).alias("first_position")
+    )
 
 
-@query()
+@query("WITH " + _lexical_sql("SELECT doc_id AS id, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark") + """
+SELECT query_id, id AS doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def lexical_cover_rank(spark, sf_dir):
-    """Documents with all words of a query, by cover density, ten for each query."""
-    index = retrieval.token_table(table(spark, sf_dir, "documents"), "doc_id", "text")
-    q = spark.createDataFrame([(0, "thend anre"), (1, "enan oner"), (2, "shou")], "query_id int, query_text string")
+    """Documents with all terms of a benchmark item, by cover density, ten for each item."""
+    q = _items_as_queries(spark, sf_dir)
+    index = retrieval.token_table(table(spark, sf_dir, "documents"), "doc_id", "text", terms=retrieval.query_terms(q))
     return retrieval.lexical_search(index, q, 10, "doc_id")
 
 
-@query(f"""
-WITH r AS (SELECT q.vec_id AS l, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 20)),
-f AS (SELECT vec_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(l * 1000 + rank) AS first FROM r WHERE rank <= 50 GROUP BY vec_id)
-SELECT vec_id, round(s, 9) AS score, row_number() OVER (ORDER BY round_even(s, 12) DESC, first, vec_id)::INT AS rank FROM f""")
-def rrf_fuse(spark, sf_dir):
-    """Fuses the fifty nearest of two query vectors."""
-    e = table(spark, sf_dir, "embeddings")
-    r = retrieval.dense_search(e, _queries(e).where("query_id < 40"), 50, "vec_id")
-    lists = [r.where(F.col("query_id") == i).withColumn("query_id", F.lit(0)) for i in (0, 20)]
-    return retrieval.reciprocal_rank_fusion(lists, "vec_id").select("vec_id", F.round("score", 9).alias("score"), "rank")
-
-
 @query(f"""
 WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, 0 AS l, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
 p AS (SELECT q.vec_id AS query_id, e.vec_id, 1 AS l, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % 20 = 0),
 u AS (SELECT * FROM d WHERE rank <= 50 UNION ALL SELECT * FROM p WHERE rank <= 50),
 f AS (SELECT query_id, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(l * 1000 + rank) AS first FROM u GROUP BY query_id, vec_id)
 SELECT query_id, vec_id, round(s, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round_even(s, 12) DESC, first, vec_id)::INT AS rank FROM f""")
-def rrf_fuse_all(spark, sf_dir):
+def rrf_fuse(spark, sf_dir):
     """Fuses, for each query of the stated set, its fifty nearest vectors and its fifty nearest of its label."""
     e = table(spark, sf_dir, "embeddings")
     q = _queries(e).withColumnRenamed("q_label", "label")
@@ -141,24 +164,40 @@ def rrf_fuse_all(spark, sf_dir):
     return retrieval.reciprocal_rank_fusion(lists, "vec_id").select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank")
 
 
-@query(f"""
-WITH d AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY {_COS}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.label = q.label),
-x AS (SELECT doc_id AS id, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS n FROM documents WHERE doc_id IN (SELECT id FROM d)),
-l AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank FROM x),
-u AS (SELECT id, rank, 0 AS l FROM d WHERE rank <= 50 UNION ALL SELECT id, rank, 1 FROM l WHERE rank <= 50),
-f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(l * 1000 + rank) AS first FROM u GROUP BY id)
-SELECT id AS chunk_id, round(s, 9) AS score, rank::INT AS rank FROM (SELECT id, s, row_number() OVER (ORDER BY round_even(s, 12) DESC, first, id) AS rank FROM f) WHERE rank <= 20""")
+#: What a vector asks the texts: the last two words of its document.
+_ASKED = r"(?U)[\p{L}\p{N}_]+[^\p{L}\p{N}_]+[\p{L}\p{N}_]+[^\p{L}\p{N}_]*$"
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    """Vectors with the documents of their ids, as chunks."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    return e.join(d.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id").select(F.col("vec_id").alias("chunk_id"), "label", "embedding", "text")
+
+
+def _asked(chunks: DataFrame) -> DataFrame:
+    asked = F.regexp_extract("text", _ASKED, 0).alias("query_text")
+    return chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label", asked)
+
+
+_HYBRID = f"""
+WITH ch AS (SELECT vec_id, label, embedding, text FROM embeddings JOIN documents ON doc_id = vec_id),
+qs AS (SELECT vec_id AS query_id, regexp_extract(text, '{_ASKED[4:]}') AS text FROM ch WHERE vec_id % 20 = 0),
+{_lexical_sql("SELECT vec_id AS id, text FROM ch", "SELECT * FROM qs", "JOIN ch ON ch.vec_id = dt.id JOIN ch AS qc ON qc.vec_id = qt.query_id AND qc.label = ch.label")},
+d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id) AS rank FROM ch e JOIN ch q ON e.label = q.label WHERE q.vec_id % 20 = 0),
+x AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s),
+u AS (SELECT query_id, id, rank, 0 AS l FROM d WHERE rank <= 50 UNION ALL SELECT query_id, id, rank, 1 FROM x WHERE rank <= 50),
+f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS v, min(l * 1000 + rank) AS first FROM u GROUP BY query_id, id)
+SELECT query_id, id AS chunk_id, round(v, 9) AS score, rank::INT AS rank FROM (SELECT query_id, id, v, row_number() OVER (PARTITION BY query_id ORDER BY round_even(v, 12) DESC, first, id) AS rank FROM f) WHERE rank <= 20"""
+
+
+@query(_HYBRID)
 def hybrid_ladder(spark, sf_dir):
-    """Prefilter by label, dense candidates, a second ranking by words of the aligned document, fusion."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("query_vector"), "label")
-    items = e.join(F.broadcast(q.select("label")), "label", "left_semi")
-    dense = retrieval.dense_search(items, q, 50, "vec_id").select("query_id", F.col("vec_id").alias("chunk_id"), "rank")
-    docs = table(spark, sf_dir, "documents").join(items.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    words = docs.select(F.lit(0).alias("query_id"), F.col("doc_id").alias("chunk_id"), F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0))).alias("n"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("n"), "chunk_id")
-    lexical = words.withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("query_id", "chunk_id", "rank")
-    return retrieval.reciprocal_rank_fusion([dense, lexical]).where("rank <= 20").select("chunk_id", F.round("score", 9).alias("score"), "rank")
+    """Hybrid search for every query of the stated set: chunks of the query's label, dense and lexical candidates, fusion."""
+    chunks = _chunks(spark, sf_dir)
+    q = _asked(chunks)
+    index = retrieval.token_table(chunks, "chunk_id", "text", terms=retrieval.query_terms(q))
+    found = retrieval.hybrid_search(chunks, index, q, 20, match="label")
+    return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query(r"""
@@ -188,14 +227,14 @@ def duration_normalize(spark, sf_dir):
 
 
 @query(r"""
-WITH b AS (SELECT item_id, lower(regexp_extract(text, '\w+')) AS needle FROM benchmark),
-d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'))) AS w FROM documents)
-SELECT item_id, count(*)::BIGINT AS n FROM b JOIN d ON d.w = b.needle GROUP BY item_id""")
+WITH l AS (SELECT doc_id, lang || ' ' || source || ' doc' AS hay, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN left(source, 2) WHEN 2 THEN source || ' doc' ELSE '' END AS needle FROM documents)
+SELECT doc_id, CASE WHEN hay IS NULL OR needle IS NULL THEN coalesce(needle = '', false) AND false WHEN needle = '' THEN false ELSE contains(' ' || hay || ' ', ' ' || needle || ' ') END AS hit FROM l WHERE hay IS NOT NULL AND needle IS NOT NULL""")
 def whole_token(spark, sf_dir):
-    """Documents that hold the first word of a benchmark item as a whole token; documents are split once and joined by word."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"\w+", 0)).alias("w"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0)))).alias("w"))
-    return d.join(b, "w").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    """Whether a document's language, the start of its source, its last two words or nothing stand in its label as a whole token."""
+    hay, i = F.concat_ws(" ", "lang", "source", F.lit("doc")), F.col("doc_id") % 4
+    needle = F.when(i == 0, F.col("lang")).when(i == 1, F.substring("source", 1, 2)).when(i == 2, F.concat("source", F.lit(" doc"))).otherwise("")
+    d = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    return d.select("doc_id", T.contains_whole_token(needle, hay).alias("hit"))
 
 
 @query(r"""
@@ -434,12 +473,14 @@ def refusal_rate(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT doc_id, sha256('rev1' || doc_id || text) AS cache_key FROM documents)
-SELECT doc_id, cache_key FROM k WHERE cache_key NOT IN (SELECT cache_key FROM k WHERE doc_id % 2 = 0)""")
+SELECT doc_id, sha256('rev1' || doc_id || text) AS cache_key, doc_id % 2 = 0 AS from_cache FROM documents WHERE trim(text, ' ') <> ''""")
 def cache_key(spark, sf_dir):
-    """Documents whose embedding key is not in a cache that holds the even ones."""
-    k = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat(F.lit("rev1"), F.col("doc_id").cast("string"), "text"), 256).alias("cache_key"))
-    return k.join(k.where("doc_id % 2 = 0").select("cache_key"), "cache_key", "left_anti").select("doc_id", "cache_key")
+    """Documents embedded with a cache that holds the even ones."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    key = embedding.cache_key("rev1", F.col("chunk_id"), F.col("text"))
+    cache = d.where("cast(chunk_id as long) % 2 = 0").select(key.alias("cache_key"), F.array(F.lit(0.0).cast("float")).alias("embedding"))
+    found = embedding.embedded(d, cache, lambda t: F.array(F.length(t).cast("float")), "rev1")
+    return found.select(F.col("chunk_id").cast("long").alias("doc_id"), "cache_key", "from_cache")
 
 
 @query("SELECT c_mktsegment, c_custkey FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42:' || c_custkey), c_custkey) AS rn FROM customer) WHERE rn <= 8")

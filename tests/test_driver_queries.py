@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from attesta.plans import driver_queries as Q
+from attesta.plans import registry_queries  # noqa: F401  (registers its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,7 +39,7 @@ def test_cover_rank_is_ordered(spark, sf):
 
 def test_fusion_takes_the_whole_query_set(spark, sf):
     want = {r.vec_id for r in Q.table(spark, sf, "embeddings").where("vec_id % 20 = 0").collect()}
-    assert len(want) > 2 and {r.query_id for r in Q.QUERIES["rrf_fuse_all"](spark, sf).collect()} == want
+    assert len(want) > 2 and {r.query_id for r in Q.QUERIES["rrf_fuse"](spark, sf).collect()} == want
 
 
 def test_entry(spark):
