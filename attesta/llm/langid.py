@@ -24,6 +24,9 @@ from .common import bound_batches
 SAMPLE_CHARS, SAMPLE_DOCS, MOST_LANGUAGES = 24_000, 64, 1000
 #: Bytes of transition tables that are kept dense, one column a letter; the tables of further languages are sorted lists.
 DENSE_BYTES = 64 << 20
+#: Letters of a lane: long documents are parsed in lanes at once, which are then brought in line with each other. Languages parsed at once,
+#: and lanes that are brought in line one by one.
+LANE, AT_ONCE, FEW = 512, 16, 32
 UNDETERMINED = "und"
 
 
@@ -79,35 +82,69 @@ def letters(text: str) -> np.ndarray:
     return c[:-1] if len(c) and c[-1] == 32 else c
 
 
-def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
-    """Transitions of each state of the automaton of all substrings of ``codes``; state 0 is dead, 1 the root."""
-    go: list[dict[int, int]] = [{}, {}]
-    link, length = [0, 0], [0, 0]
-    last = 1
+class _Rows(list):
+    """Transitions by state as dictionaries, for alphabets too wide for a table."""
+
+    def __init__(self, states: int):
+        super().__init__({} for _ in range(states))
+
+    def __getitem__(self, at):
+        return list.__getitem__(self, at[0]).get(at[1], 0)
+
+    def __setitem__(self, at, value):
+        list.__getitem__(self, at[0])[at[1]] = value
+
+    def copy_row(self, to: int, source: int) -> None:
+        list.__setitem__(self, to, dict(list.__getitem__(self, source)))
+
+
+class _Table:
+    """Transitions by state as a table, one column a letter."""
+
+    def __init__(self, states: int, width: int):
+        self.cells = np.zeros((states, width), np.int32)
+
+    def __getitem__(self, at):
+        return int(self.cells[at])
+
+    def __setitem__(self, at, value):
+        self.cells[at] = value
+
+    def copy_row(self, to: int, source: int) -> None:
+        self.cells[to] = self.cells[source]
+
+
+def suffix_automaton(codes: list[int], go) -> int:
+    """Fills ``go`` with the transitions of the automaton of all substrings of ``codes``; state 0 is dead, 1 the root. Returns the number of states."""
+    size = 2 * len(codes) + 2
+    link, length = [0] * size, [0] * size
+    last, count = 1, 2
     for c in codes:
-        new = len(go)
-        go.append({})
-        link.append(1)
-        length.append(length[last] + 1)
+        new = count
+        count += 1
+        length[new] = length[last] + 1
         p = last
-        while p and c not in go[p]:
-            go[p][c] = new
+        while p and not go[p, c]:
+            go[p, c] = new
             p = link[p]
-        if p:
-            q = go[p][c]
+        if not p:
+            link[new] = 1
+        else:
+            q = go[p, c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                twin = len(go)
-                go.append(dict(go[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p and go[p].get(c) == q:
-                    go[p][c] = twin
+                twin = count
+                count += 1
+                length[twin] = length[p] + 1
+                go.copy_row(twin, q)
+                link[twin] = link[q]
+                while p and go[p, c] == q:
+                    go[p, c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return go
+    return count
 
 
 class CrossParser:
@@ -123,42 +160,47 @@ class CrossParser:
         self.languages = list(samples)
         self.alphabet = np.unique(np.concatenate([np.zeros(0, np.int32), *samples.values()]))
         self.bits = np.array([math.log2(max(2, len(v))) for v in samples.values()])
-        tables, widths, codes = [], [], []
+        left, dense, sparse = dense_bytes, [], []
         for v in samples.values():
             own = np.unique(v)
             # a letter that the sample lacks is 0 and leads nowhere
             code = np.zeros(len(self.alphabet) + 1, np.int64)
             code[np.searchsorted(self.alphabet, own)] = np.arange(1, len(own) + 1)
-            tables.append(suffix_automaton(code[np.searchsorted(self.alphabet, v)].tolist()))
-            widths.append(len(own) + 1)
-            codes.append(code)
-        left, dense, sparse = dense_bytes, [], []
-        for k in sorted(range(len(tables)), key=lambda k: len(tables[k]) * widths[k]):
-            left -= 4 * len(tables[k]) * widths[k]
-            (dense if left >= 0 else sparse).append(k)
-        self.groups = []
-        for chosen, full in ((sorted(dense), True), (sorted(sparse), False)):
-            if not chosen:
-                continue
-            base = np.concatenate([[0], np.cumsum([len(tables[k]) * widths[k] for k in chosen])]).astype(np.int64)
-            keys, values = [], []
-            for k, at in zip(chosen, base.tolist()):
-                keys += [at + s * widths[k] + c for s, t in enumerate(tables[k]) for c in t]
-                values += [x for t in tables[k] for x in t.values()]
-            keys, values = np.array(keys, np.int64), np.array(values, np.int32)
-            if full:
-                flat = np.zeros(int(base[-1]), np.int32)
-                flat[keys] = values
-                keys, values = None, flat
+            states, width = 2 * len(v) + 2, len(own) + 1
+            letters_ = code[np.searchsorted(self.alphabet, v)].tolist()
+            k = len(dense) + len(sparse)
+            left -= 4 * states * width
+            if left >= 0:
+                go = _Table(states, width)
+                count = suffix_automaton(letters_, go)
+                dense.append((k, count, width, code, go.cells[:count].ravel()))
             else:
+                go = _Rows(states)
+                count = suffix_automaton(letters_, go)
+                rows = [list.__getitem__(go, s) for s in range(count)]
+                keys = np.array([s * width + c for s, t in enumerate(rows) for c in t], np.int64)
+                values = np.array([x for t in rows for x in t.values()], np.int32)
                 order = np.argsort(keys)
-                keys, values = keys[order], values[order]
-            self.groups.append((np.array(chosen), base[:-1, None], np.array([[widths[k]] for k in chosen]), np.stack([codes[k] for k in chosen]), keys, values))
+                sparse.append((k, count, width, code, (keys[order], values[order])))
+        self.groups = []
+        for full, some in ((True, dense), (False, sparse)):
+            for at in range(0, len(some), AT_ONCE):
+                part = some[at : at + AT_ONCE]
+                base = np.concatenate([[0], np.cumsum([count * width for _, count, width, _, _ in part])]).astype(np.int64)
+                if full:
+                    keys, values = None, np.concatenate([t for *_, t in part])
+                    if values.max() < 1 << 16:
+                        values = values.astype(np.uint16)
+                else:
+                    keys, values = np.concatenate([t[0] + b for (*_, t), b in zip(part, base)]), np.concatenate([t[1] for *_, t in part])
+                self.groups.append((np.array([k for k, *_ in part]), base[:-1], np.array([w for _, _, w, _, _ in part]), np.stack([c for _, _, _, c, _ in part]), keys, values))
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """Phrases (documents x languages) that each document of ``letters`` is parsed into.
 
-        All documents and languages go one letter on in each step; documents that are done drop out.
+        Documents are cut into lanes that are parsed at once, each from its start. Then the lanes of a document are gone
+        through in order: where a phrase reaches into a lane, its parse goes on letter by letter until it begins a phrase
+        where the lane's own parse does; from there they are the same. So the counts are those of one parse from left to right.
         """
         out = np.zeros((len(docs), len(self.languages)), np.int64)
         sizes = np.array([len(d) for d in docs], np.int64)
@@ -170,10 +212,21 @@ class CrossParser:
         place = np.searchsorted(self.alphabet, flat)
         place[self.alphabet[np.minimum(place, len(self.alphabet) - 1)] != flat] = len(self.alphabet)
         begin = np.cumsum(sizes) - sizes
-        live = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+        lanes = -(-sizes // LANE)
+        first_lane = np.cumsum(lanes) - lanes
+        rank = np.arange(lanes.sum()) - np.repeat(first_lane, lanes)
+        start = np.repeat(begin, lanes) + rank * LANE
+        length = np.minimum(LANE, np.repeat(begin + sizes, lanes) - start)
+        by_length = np.argsort(-length, kind="stable")  # lanes that go on stand before those that are over
+        spot = np.empty(len(start), np.int64)
+        spot[by_length] = np.arange(len(start))
+        live = np.searchsorted(-length[by_length], -np.arange(LANE), "left")
+        begin_of = start[by_length]
+        head, longest = spot[first_lane[lanes > 0]], int(length[by_length[0]])
+        rows = np.zeros((longest, len(start)), np.int32)  # the letters of all lanes, step by step
+        for i in range(longest):
+            rows[i, : live[i]] = place[begin_of[: live[i]] + i]
         for chosen, base, width, codes, keys, values in self.groups:
-            state = np.ones((len(chosen), len(docs)), np.int64)
-            count = np.zeros((len(chosen), len(docs)), np.int64)
 
             def step(at):
                 if keys is None:
@@ -181,24 +234,73 @@ class CrossParser:
                 found = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
                 return np.where(keys[found] == at, values[found], 0)
 
-            root = np.zeros(codes.shape, np.int64)
-            for x in range(0, codes.shape[1], 1 << 16):
-                root[:, x : x + (1 << 16)] = step(base + width + codes[:, x : x + (1 << 16)])
-            for i in range(int(sizes[0])):
-                n = live[i]
-                here = place[begin[:n] + i]
-                now = state[:, :n]
-                new = step(base + now * width + codes[:, here])
-                stop = new == 0
-                if stop.any():
-                    again = root[:, here]
-                    lone = stop & (again == 0)
-                    # a phrase ends; a letter that the sample lacks is one more by itself
-                    count[:, :n] += stop
-                    count[:, :n] += lone & (now != 1)
-                    new = np.where(stop, np.where(lone, 1, again), new)
-                state[:, :n] = new
-            out[order[:, None], chosen[None, :]] = (count + ((state != 1) & (sizes > 0))).T
+            def lookup(at: int) -> int:
+                if keys is None:
+                    return values.item(at)
+                found = int(np.searchsorted(keys, at))
+                return values.item(found) if found < len(keys) and keys.item(found) == at else 0
+
+            def moved(k, state, letter):
+                """State after a letter, and whether a phrase begins with it."""
+                new = step(base[k] + state * width[k] + codes[k, letter])
+                fresh = (new == 0) | (state == 1)
+                again = root[k, letter]
+                # a letter that the sample lacks is a phrase by itself
+                return np.where(new == 0, np.where(again == 0, 1, again), new), fresh
+
+            root = step(base[:, None] + width[:, None] + codes)
+            state = np.ones((len(chosen), len(start)), np.int32)
+            count = np.zeros((len(chosen), len(start)), np.int32)
+            begins = np.zeros((longest, len(chosen), len(start)), bool)
+            for x in range(len(chosen)):  # one language after the other: a table of a few megabytes stays near
+                now, met, code, first = state[x], count[x], codes[x].astype(np.int32), root[x].astype(np.int32)
+                cells = values[base[x] :] if keys is None else None
+                for i in range(longest):
+                    n = live[i]
+                    letter, old = rows[i, :n], now[:n]
+                    at = old * np.int32(width[x]) + code[letter]
+                    new = cells.take(at) if keys is None else step(base[x] + at)
+                    stop = new == 0
+                    fresh = stop | (old == 1)
+                    met[:n] += fresh
+                    begins[i, x, :n] = fresh
+                    now[:n] = np.where(stop, np.maximum(first[letter], 1), new) if stop.any() else new
+            total, end = count[:, head], state[:, head]
+            for r in range(1, int(lanes[0])):
+                m = int(np.searchsorted(-lanes, -r, "left"))  # documents with more lanes
+                lane = spot[first_lane[:m] + r]
+                k, d = np.nonzero(end[:, :m] != 1)
+                now = end[k, d]
+                total[:, :m] += count[:, lane]
+                end[:, :m] = state[:, lane]
+                size = length[first_lane[:m] + r]
+                i = 0
+                while len(k) > FEW and i < LANE:
+                    on = size[d] > i
+                    if not on.all():  # the document is over
+                        end[k[~on], d[~on]] = now[~on]
+                        k, d, now = k[on], d[on], now[on]
+                    new, fresh = moved(k, now, rows[i, lane[d]])
+                    there = begins[i, k, lane[d]]
+                    apart = ~(fresh & there)
+                    total[k, d] += np.where(apart, fresh.astype(np.int64) - there, 0)
+                    k, d, now = k[apart], d[apart], new[apart]
+                    i += 1
+                for x, y, at in zip(k.tolist(), d.tolist(), now.tolist()):  # the last few go one by one
+                    j = int(lane[y])
+                    cells, w, code, fix = int(base[x]), int(width[x]), codes[x], 0
+                    for q in range(i, int(size[y])):
+                        c = code.item(rows.item((q, j)))
+                        new = lookup(cells + at * w + c)
+                        fresh, there = new == 0 or at == 1, begins.item((q, x, j))
+                        if fresh and there:
+                            break
+                        fix += fresh - there
+                        at = new or lookup(cells + w + c) or 1
+                    else:
+                        end[x, y] = at
+                    total[x, y] += fix
+            out[order[: total.shape[1]][:, None], chosen[None, :]] = total.T
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
