@@ -32,11 +32,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table in the shared folder, read back: lineage is cut and a lost executor costs nothing."""
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, read back: lineage is cut and a lost executor costs nothing.
+
+    ``batch_rows`` lowers the rows of an Arrow batch for this table alone, where rows are long.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, key = new_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows is not None and not 0 < int(before) <= batch_rows:
+        spark.conf.set(key, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

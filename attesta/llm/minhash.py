@@ -23,7 +23,7 @@ SHINGLE, SKETCHES, PICKS, SIMILARITY = 5, 72, 2, 0.8
 POSITION_BITS = 24
 #: A bucket with more members is crowded. Texts and words of one block of crowded texts, and bins of the word counts that bound a distance from below.
 CROWD, BLOCK_ROWS, BLOCK_WORDS, BINS = 128, 2048, 1 << 20, 128
-#: Pairs of texts that a task aligns at a time.
+#: Pairs of texts that a task is sent at a time: arrays of words take more room than texts.
 PAIRS = 500
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -357,7 +357,7 @@ def crowd_links(crowded: DataFrame, comp: DataFrame, texts: DataFrame, similarit
     near = a.join(b, "crowd").where("a <= b").where((F.col("low_b") * similarity <= F.col("high_a") + 1) & (F.col("low_a") * similarity <= F.col("high_b") + 1)).select("a", "b")
     left, right = blocks.select(F.col("block").alias("a"), "data"), blocks.select(F.col("block").alias("b"), F.col("data").alias("data2"))
     pairs = near.join(left, "a").join(right, "b")
-    links, _ = written(pairs.repartition(F.col("a"), F.col("b")).mapInArrow(_block_linker(similarity), "a binary, b binary"), "links")
+    links, _ = written(pairs.repartition(F.col("a"), F.col("b")).mapInArrow(_block_linker(similarity), "a binary, b binary"), "links", 4)
     drop_path(blocks.sparkSession, path)
     drop_path(blocks.sparkSession, names_path)
     return links
@@ -379,7 +379,7 @@ def rest_links(buckets: DataFrame, comp: DataFrame, texts: DataFrame, similarity
     both = few.join(profiles, "h").select(F.col("k").alias("key"), "h", "component", "size", "bins")
     pairs, pairs_path = written(both.repartition("key").sortWithinPartitions("key").mapInArrow(_near_in_groups(similarity), "a long, b long").distinct(), "rest")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    links, _ = written(verified_pairs(pairs, texts.join(asked, "h", "left_semi"), similarity).select("a", "b"), "links")
+    links, _ = written(verified_pairs(pairs, texts.join(asked, "h", "left_semi"), similarity).select("a", "b"), "links", PAIRS)
     many = rows.where(F.col("n") > crowd).select("h", "a")
     if many.limit(1).count():
         links = links.union(crowd_links(many, comp, texts, similarity))
@@ -492,8 +492,7 @@ def _verifier(similarity: float):
 
     def run(batches):
         words = _Words()
-        # arrays of words take more room than texts, so a few megabytes of them are held at a time
-        for batch in (b.slice(i, PAIRS) for b in batches for i in range(0, len(b), PAIRS)):
+        for batch in batches:
             words.seen.clear()
             names, others = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             left = [words(v, t) for v, t in zip(names, batch.column("ta").to_pylist())]
@@ -548,7 +547,7 @@ def classed(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     texts = named.join(buckets.select("h").distinct().hint("shuffle_merge"), "h", "left_semi").select("h", "node", "text").dropDuplicates(["h", "node"])
     texts, texts_path = written(texts, "texts")
     first = buckets.where("a < h").select("a", F.col("h").alias("b")).distinct()
-    links, links_path = written(verified_pairs(first, texts, similarity), "links")
+    links, links_path = written(verified_pairs(first, texts, similarity), "links", PAIRS)
     comp = components(links)
     # any number will do for a component here, as long as equal components have equal ones
     more = rest_links(buckets, comp.select(F.xxhash64("node").alias("h"), F.xxhash64("component").alias("component")).distinct(), texts, similarity, crowd)
