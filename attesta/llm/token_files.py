@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,14 @@ from .common import bound_batches, new_path, written
 from .interned import Interned
 
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-FRAME_IDS, LEVEL, END_ID = 0, 3, 0
+FRAME_IDS, LEVEL, END_ID, LINE = 0, 3, 0, 2000
 INDEX = np.dtype([("frame", "<u4"), ("first", "<u4"), ("ids", "<u4"), ("null", "u1"), ("doc_id", "<i8")])
 #: White space on both sides of a space: there, splitting at spaces could change how the tokenizer splits.
 _UNSAFE = re.compile(r"\s (?!\S)")
 
 
+#: Pieces that stay what they are between two digits: letters and ASCII punctuation behind one space at most, or a line feed.
+_JOINED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ!-/:-@\[-`{-~]+|\n")
 #: Words that the pre-tokenizer parts in a known way: letters, closing punctuation, one line feed, letters, closing punctuation.
 _PARTS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)?(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)?)?")
 
@@ -64,7 +67,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.splits = splits_at_spaces(json.load(f))
-        self.pieces, self.words = Interned(self._part, most=300_000), Interned(self._encode, most=300_000)
+        zero = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.digit, self.splits = zero[0] if zero else -1, self.splits and len(zero) == 1
+        self.pieces, self.words = Interned(self._part, most=300_000), Interned(self._encode, most=500_000)
 
     def _part(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words, counts = [], []
@@ -76,9 +81,22 @@ class Encoder:
         return self.words.ids(words, counts)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by the library; those that a digit parts from their neighbours go there in long lines, which costs less a piece."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [e.ids for e in encode(pieces, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+        plain = np.fromiter((self.splits and _JOINED.fullmatch(p) is not None for p in pieces), bool, len(pieces))
+        lines = list(compress(pieces, plain))
+        text = ["0".join(lines[i : i + LINE]) + "0" for i in range(0, len(lines), LINE)]
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in encode(text, add_special_tokens=False))]) if text else np.zeros(0, np.int32)
+        parts = ids == self.digit
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[plain] = np.diff(np.flatnonzero(parts), prepend=-1) - 1
+        if plain.all():
+            return ids[~parts], sizes
+        odd = [e.ids for e in encode(list(compress(pieces, ~plain)), add_special_tokens=False)]
+        sizes[~plain] = [len(x) for x in odd]
+        out, of_plain = np.empty(int(sizes.sum()), np.int32), np.repeat(plain, sizes)
+        out[of_plain], out[~of_plain] = ids[~parts], [i for x in odd for i in x]
+        return out, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
@@ -142,7 +160,7 @@ class Reader:
     """Reads one file from a seekable binary stream."""
 
     def __init__(self, source):
-        self.source = source
+        self.source, self.unpack = source, zstandard.ZstdDecompressor()
         source.seek(0, 2)
         end = source.tell()
         n, kind, magic = struct.unpack("<IBI", self._at(end - 9, 9))
@@ -156,7 +174,7 @@ class Reader:
         magic, size = struct.unpack("<II", self._at(int(self.offsets[-1]), 8))
         if magic != INDEX_MAGIC:
             raise ValueError("the document index is missing")
-        self.index = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._at(int(self.offsets[-1]) + 8, size)), INDEX)
+        self.index = np.frombuffer(self.unpack.decompress(self._at(int(self.offsets[-1]) + 8, size)), INDEX)
 
     def _at(self, start: int, size: int) -> bytes:
         self.source.seek(start)
@@ -164,7 +182,7 @@ class Reader:
 
     def frame(self, i: int) -> np.ndarray:
         packed, size, checksum = (int(x) for x in self.frames[i])
-        data = zstandard.ZstdDecompressor().decompress(self._at(int(self.offsets[i]), packed), max_output_size=size)
+        data = self.unpack.decompress(self._at(int(self.offsets[i]), packed), max_output_size=size)
         if len(data) != size or xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != checksum:
             raise ValueError(f"frame {i} is damaged")
         return np.frombuffer(data, "<u4")
