@@ -36,6 +36,8 @@ INDEX = np.dtype([("frame", "<u4"), ("first", "<u4"), ("ids", "<u4"), ("null", "
 _UNSAFE = re.compile(r"\s (?!\S)")
 
 
+#: Marks a piece without a space before it.
+_BARE = "\0"
 #: Pieces that stay what they are between two digits: letters and ASCII punctuation behind one space at most, or a line feed.
 _JOINED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ!-/:-@\[-`{-~]+|\n")
 #: Words that the pre-tokenizer parts in a known way: letters, closing punctuation, one line feed, letters, closing punctuation.
@@ -74,6 +76,7 @@ class Encoder:
     def _part(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words, counts = [], []
         for p in pieces:
+            p = p[1:] if p.startswith(_BARE) else " " + p
             found = _PARTS.fullmatch(p) if self.splits else None
             parts = [x for x in found.groups() if x] if found else [p]
             words += parts
@@ -105,13 +108,13 @@ class Encoder:
             n = len(pieces)
             if not t:
                 pass
-            elif not self.splits or _UNSAFE.search(t):
-                pieces.append(t)
+            elif not self.splits or _BARE in t or _UNSAFE.search(t):
+                pieces.append(_BARE + t)
             else:
                 first, *rest = t.split(" ")
                 if first:
-                    pieces.append(first)
-                pieces += map(" ".__add__, rest)
+                    pieces.append(_BARE + first)
+                pieces += rest  # each stands for itself behind a space
             counts.append(len(pieces) - n)
         return self.pieces.ids(pieces, counts)
 
